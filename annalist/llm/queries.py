@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .langid import op2_language_id
 from .mixing import op10_mix_sources
+from .omh import op6_order_minhash
 from .packing import op8_pack_documents
 from .urls import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_pack_documents": op8_pack_documents,
     "op10_mix_sources": op10_mix_sources,
