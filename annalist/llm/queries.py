@@ -6,14 +6,19 @@ from .langid import op2_language_id
 from .mixing import op10_mix_sources
 from .omh import op6_order_minhash
 from .packing import op8_pack_documents
+from .topk import OP3_SQL, op3_exact_top_k
 from .urls import OP7_SQL, op7_url_filter
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_exact_top_k": op3_exact_top_k,
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_pack_documents": op8_pack_documents,
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE = {"op7_url_filter": OP7_SQL}
+ORACLE = {
+    "op3_exact_top_k": OP3_SQL,
+    "op7_url_filter": OP7_SQL,
+}
