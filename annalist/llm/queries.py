@@ -6,10 +6,12 @@ from .langid import op2_language_id
 from .mixing import op10_mix_sources
 from .omh import op6_order_minhash
 from .packing import op8_pack_documents
+from .simhash import op1_simhash_dedup
 from .topk import OP3_SQL, op3_exact_top_k
 from .urls import OP7_SQL, op7_url_filter
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
     "op6_order_minhash": op6_order_minhash,
