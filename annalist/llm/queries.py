@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op9_html_main_text
 from .langid import op2_language_id
 from .mixing import op10_mix_sources
 from .omh import op6_order_minhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_pack_documents": op8_pack_documents,
+    "op9_html_main_text": op9_html_main_text,
     "op10_mix_sources": op10_mix_sources,
 }
 
