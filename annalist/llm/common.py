@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,13 @@ def ascii_lower(c: Column) -> Column:
 
 def clamp(x: int, low: int, high: int) -> int:
     return max(low, min(high, x))
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, which goes when the session ends; for larger tables than cut()."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

@@ -9,7 +9,6 @@ powers of two, which need no padding. Ranks and offsets are sums over the parts
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, shared_dir
+from .common import cut, scratch
 
 WINDOW, UNIT, END_ID = 4096, 64, 2
 
@@ -147,12 +146,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, depth: int
     null id is kept; repeated rows are packed each for itself; an empty table gives no rows; of other columns
     nothing is read. The driver holds a histogram of 64 counts, however large the corpus.
     """
-    spark = docs.sparkSession
-    at = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    tokenised(docs, tokenizer_path, end_id, id_col, text_col).write.parquet(at)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(fs_path)
-    tokens = spark.read.parquet(at)
+    tokens = scratch(tokenised(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
 
     n, tail = F.col("n"), F.pmod("n", F.lit(UNIT))
     counts = cut(tokens.groupBy("part", "length").agg(F.count("*").alias("heads"), F.sum(F.floor(n / WINDOW)).alias("f"), F.sum(tail).alias("t")))

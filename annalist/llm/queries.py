@@ -8,6 +8,7 @@ from .mixing import op10_mix_sources
 from .omh import op6_order_minhash
 from .packing import op8_pack_documents
 from .simhash import op1_simhash_dedup
+from .substring import op4_substring_dedup
 from .topk import OP3_SQL, op3_exact_top_k
 from .urls import OP7_SQL, op7_url_filter
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_pack_documents": op8_pack_documents,
