@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op5_chat_format
 from .html import op9_html_main_text
 from .langid import op2_language_id
 from .mixing import op10_mix_sources
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_order_minhash": op6_order_minhash,
     "op7_url_filter": op7_url_filter,
     "op8_pack_documents": op8_pack_documents,
