@@ -181,6 +181,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return out.select("*", "_judged_.lang_pred", "_judged_.score").drop("_judged_")
 
 
+def in_a_language(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs without those whose language is ``und`` or has a probability below ``least``; learned from docs.
+
+    Learns from all documents but held-out ones. If no document has a language, none is rejected.
+    """
+    model = train(docs.where(~held_out(F.col(id_col))), id_col=id_col, **how)
+    if not model.langs:
+        return docs
+    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is never learned from: crc32 of its id as text is divisible by 5; true for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -41,6 +41,11 @@ def permuted(x: Column, n: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(24)), step(x), lambda p, _: F.when(p < n, p).otherwise(step(p)))
 
 
+def row_key(id_col: str, source_col: str, text_col: str) -> Column:
+    """A hash of a row's id, source and text; equal rows have equal keys."""
+    return F.xxhash64(id_col, F.col(id_col).isNull(), source_col, F.col(source_col).isNull(), text_col)
+
+
 def sizes_of(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -75,14 +80,14 @@ class Mix:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = 128, shard_slots: int = 4096, seed: int = 1, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> Mix:
     """Plans the mix of docs.
 
-    placed: id, size, key (of the row's text), ordinal, source_size, target, start (of the document among its
+    placed: id, size, key (as row_key()), ordinal, source_size, target, start (of the document among its
     source's words). slots: shard, ordinal, epoch, index: the blocks of each output shard. sources: as source_targets().
 
     A null source is a source, the last. Null and empty texts have size 0 and no place in a block. Repeated rows are
     rows of their own. Other columns are not read. Documents of one source are spread over buckets by a hash of the
     id, so no task holds a source.
     """
-    sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(docs, text_col).alias("size"), F.xxhash64(text_col).alias("key")))
+    sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(docs, text_col).alias("size"), row_key(id_col, source_col, text_col).alias("key")))
     n = sizes.count()
     buckets = clamp(n // 2048, 16, 1 << 16)
     sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)))
@@ -140,28 +145,24 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     return took.select(out).unionByName(m.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out)).withColumnRenamed("id", "doc_id")
 
 
-def mixed_texts(docs: DataFrame, **how) -> DataFrame:
-    """The documents as the mix takes them, with the columns of documents.
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The documents as the mix takes them, with the columns of docs; n_chars, if there, is of the new text.
 
-    A document comes out once for each epoch that takes any of it, whole where all of its blocks are taken, else as
-    the words of those that are; white space between kept words stays. Size-0 documents are not part of a mix.
+    A document comes out once for each epoch that takes any of it: whole where all of its blocks are taken, else as
+    the words of those that are, with the white space between them. Documents without a word are not part of a mix.
+    Texts are shuffled once, by a key of the row; equal rows are taken as often as all of them together.
     """
-    m = mix(docs, **how)
+    m = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how)
     of = F.struct("piece_from", "piece_len")
-    took = pieces(m).join(m.slots.select("ordinal", "index", "epoch"), ["ordinal", "index"]).groupBy("id", "key", "ordinal", "start", "size", "epoch").agg(F.sort_array(F.collect_list(of)).alias("runs"), F.sum("piece_len").alias("words"))
-    took = took.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "size", "epoch", "words", F.when(F.col("words") < F.col("size"), F.col("runs")).alias("runs"), "start", "ordinal")
-    # equal rows of documents stand for one another: each takes one of their places
-    same = W.partitionBy("m_id", "m_key", "epoch", "ordinal").orderBy("start")
-    took = took.withColumn("m_nth", F.row_number().over(same))
-    d = docs.withColumn("k_key", F.xxhash64("text")).withColumn("ordinal_of", F.col("source"))
-    d = d.withColumn("k_nth", F.row_number().over(W.partitionBy("doc_id", "k_key", "source").orderBy(F.lit(0))))
-    d = d.join(m.sources.select(F.col("source").alias("s_source"), F.col("ordinal").alias("s_ordinal")), F.col("source").eqNullSafe(F.col("s_source")))
-    j = d.join(took, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("k_key") == F.col("m_key")) & (F.col("s_ordinal") == F.col("ordinal")) & (F.col("k_nth") == F.col("m_nth")))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
-    some = F.rtrim(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, (r["piece_from"] + 1).cast("int"), r["piece_len"].cast("int")))), ""))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(some)
-    out = j.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    took = pieces(m).join(m.slots.select("ordinal", "index", "epoch"), ["ordinal", "index"]).groupBy("key", "ordinal", "start", "size", "epoch").agg(F.sort_array(F.collect_list(of)).alias("_runs_"), F.sum("piece_len").alias("words"))
+    took = took.select(F.col("key").alias("_took_"), F.when(F.col("words") < F.col("size"), F.col("_runs_")).alias("_runs_"))
+    one = docs.withColumn("_key_", row_key(id_col, source_col, text_col)).dropDuplicates(["_key_"])
+    words = F.regexp_extract_all(text_col, F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), 0)
+    some = F.rtrim(F.array_join(F.flatten(F.transform("_runs_", lambda r: F.slice(words, (r["piece_from"] + 1).cast("int"), r["piece_len"].cast("int")))), ""))
+    out = one.join(took, F.col("_key_") == F.col("_took_")).withColumn(text_col, F.when(F.col("_runs_").isNull(), F.col(text_col)).otherwise(some))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
+    return out.select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

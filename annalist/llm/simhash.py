@@ -147,5 +147,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     return own.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest id, of each group that links join; a repeated row stays once.
+
+    Documents with null ids stay only where no other of their group has an id; then those of one text are one.
+    """
+    groups = near_duplicates(docs, words, radius, id_col, text_col)
+    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_")).distinct())
+    d = docs.withColumn("_text_", F.xxhash64(text_col)).join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_")), "left_semi")
+    return d.dropDuplicates([id_col, "_text_"]).select(*docs.columns)
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

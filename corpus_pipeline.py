@@ -1,10 +1,52 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: raw documents to packed sequences of token ids, stage by stage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from annalist.llm.langid import in_a_language
+from annalist.llm.mixing import mixed_texts
+from annalist.llm.packing import pack
+from annalist.llm.simhash import without_near_duplicates
+from annalist.llm.substring import without_repeats
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents in a language that the labelled ones teach."""
+    return in_a_language(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    return without_near_duplicates(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that repeat another document's."""
+    return without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes blocks of each source's words to its target."""
+    return mixed_texts(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' token ids into sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
+]
+
+#: The stages are trained, hashed and drawn: SQL can't express them.
 ORACLE_SQL = None
 
 
