@@ -104,51 +104,51 @@ def q_cdc_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _wars_and_ledger(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("at"), "event_type", "value")
-    wars = e.where("event_type = 'purchase'").select("user_id", "at")
-    return wars, e.where("event_type = 'view'").select("user_id", "at", F.col("at").alias("save"), "value")
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("tick"), "event_type", "value")
+    wars = e.where("event_type = 'purchase'").select("user_id", "tick")
+    return wars, e.where("event_type = 'view'").select("user_id", "tick", F.col("tick").alias("save"), "value")
 
 
-WARS = "w as (select user_id, event_id as at from events where event_type = 'purchase'), v as (select user_id, event_id as at, value from events where event_type = 'view')"
+WARS = "w as (select user_id, event_id as tick from events where event_type = 'purchase'), v as (select user_id, event_id as tick, value from events where event_type = 'view')"
 
 
 @query(f"""
-with {WARS} select w.user_id, w.at, coalesce((select max(at) from v where v.user_id = w.user_id and v.at <= w.at), (select min(at) from v where v.user_id = w.user_id))::double as save from w
+with {WARS} select w.user_id, w.tick, coalesce((select max(tick) from v where v.user_id = w.user_id and v.tick <= w.tick), (select min(tick) from v where v.user_id = w.user_id))::double as save from w
 """)
 def q_asof_ledger_before(spark: SparkSession, sf: str) -> DataFrame:
     """The last ledger at or before a war's start, or else the first there is."""
     wars, ledger = _wars_and_ledger(spark, sf)
-    return A.asof(wars, ledger, ["user_id"], "at", ["save"], clamp=True).select("user_id", "at", F.col("save").cast("double").alias("save"))
+    return A.asof(wars, ledger, ["user_id"], "tick", ["save"], clamp=True).select("user_id", "tick", F.col("save").cast("double").alias("save"))
 
 
 @query(f"""
-with {WARS} select w.user_id, w.at, coalesce((select min(at) from v where v.user_id = w.user_id and v.at >= w.at), (select max(at) from v where v.user_id = w.user_id))::double as save from w
+with {WARS} select w.user_id, w.tick, coalesce((select min(tick) from v where v.user_id = w.user_id and v.tick >= w.tick), (select max(tick) from v where v.user_id = w.user_id))::double as save from w
 """)
 def q_asof_ledger_after(spark: SparkSession, sf: str) -> DataFrame:
     """The first ledger at or after a war's end, or else the last there is."""
     wars, ledger = _wars_and_ledger(spark, sf)
-    return A.asof(wars, ledger, ["user_id"], "at", ["save"], forward=True, clamp=True).select("user_id", "at", F.col("save").cast("double").alias("save"))
+    return A.asof(wars, ledger, ["user_id"], "tick", ["save"], forward=True, clamp=True).select("user_id", "tick", F.col("save").cast("double").alias("save"))
 
 
 @query(f"""
-with {WARS}, b as (select w.user_id, w.at, (select max(at) from v where v.user_id = w.user_id and v.at <= w.at and w.at - v.at <= 200) as near, (select min(at) from v where v.user_id = w.user_id and v.at > w.at) as later from w)
-select user_id, at, coalesce(near, later)::double as save from b
+with {WARS}, b as (select w.user_id, w.tick, (select max(tick) from v where v.user_id = w.user_id and v.tick <= w.tick and w.tick - v.tick <= 200) as near, (select min(tick) from v where v.user_id = w.user_id and v.tick > w.tick) as later from w)
+select user_id, tick, coalesce(near, later)::double as save from b
 """)
 def q_opening_save(spark: SparkSession, sf: str) -> DataFrame:
     """The save a war opens with: the last one before within a tolerance, else the first after."""
     wars, ledger = _wars_and_ledger(spark, sf)
-    near = A.asof(wars, ledger, ["user_id"], "at", ["save"], tolerance=200.0).withColumnRenamed("save", "near")
-    later = A.asof(near, ledger, ["user_id"], "at", ["save"], forward=True)
-    return later.select("user_id", "at", F.coalesce("near", "save").cast("double").alias("save"))
+    near = A.asof(wars, ledger, ["user_id"], "tick", ["save"], tolerance=200.0).withColumnRenamed("save", "near")
+    later = A.asof(near, ledger, ["user_id"], "tick", ["save"], forward=True)
+    return later.select("user_id", "tick", F.coalesce("near", "save").cast("double").alias("save"))
 
 
 @query(f"""
-with {WARS} select w.user_id, w.at, (select arg_min(at, (abs(v.at - w.at), v.at)) from v where v.user_id = w.user_id)::double as save from w
+with {WARS} select w.user_id, w.tick, (select arg_min(tick, (abs(v.tick - w.tick), v.tick)) from v where v.user_id = w.user_id)::double as save from w
 """)
 def q_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The save nearest to a date, the earlier of two."""
     wars, ledger = _wars_and_ledger(spark, sf)
-    return A.nearest(wars, ledger, ["user_id"], "at", ["save"]).select("user_id", "at", F.col("save").cast("double").alias("save"))
+    return A.nearest(wars, ledger, ["user_id"], "tick", ["save"]).select("user_id", "tick", F.col("save").cast("double").alias("save"))
 
 
 @query("""
