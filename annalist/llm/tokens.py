@@ -45,7 +45,7 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 
 class ChunkTokenizer:
-    """Encodes texts to arrays of ids; ``most`` bounds each cache's entries, which start anew when it is reached."""
+    """Encodes texts to arrays of ids; a cache of over ``most`` entries starts anew with the next block."""
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,8 +66,6 @@ class ChunkTokenizer:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
-        if len(self.of_chunk) > self.most:
-            self.of_chunk.clear()
         if len(self.of_word) > self.most:
             self.of_word.clear()
         whole, ids, word = [], self.of_word, self._word
@@ -93,10 +91,9 @@ class ChunkTokenizer:
         out, known = [], self.of_chunk
         for block in blocks((text or "").encode()):
             chunks = block.split()
+            if len(known) > self.most:
+                known.clear()
             if new := {c for c in set(chunks) if c not in known}:
                 self._learn(new)
-                if len(new) < len(set(chunks)):  # the cache may have started anew
-                    if lost := {c for c in set(chunks) if c not in known}:
-                        self._learn(lost)
             out.append(b"".join([known[c] for c in chunks]))
         return np.frombuffer(b"".join(out), self.kind)
