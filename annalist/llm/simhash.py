@@ -76,14 +76,14 @@ def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def fingerprinted(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, text_key (xxhash64 of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, few: int = 64) -> DataFrame:
@@ -132,7 +132,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, few: int = 64) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach, for each row of docs.
+    """For each row of docs: doc_id, fingerprint (16 hex digits), component_id, the smallest id that links reach, and text_key.
 
     Texts with fingerprints that differ in at most ``radius`` bits are linked. Null, empty and wordless texts have
     fingerprint zero and are linked like any other. Null ids are kept and never the smallest; repeated rows stay
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     linked = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r"))
     of_fp = cut(linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
-    return own.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_key")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,8 +153,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id
     Documents with null ids stay only where no other of their group has an id; then those of one text are one.
     """
     groups = near_duplicates(docs, words, radius, id_col, text_col)
-    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_")).distinct())
-    d = docs.withColumn("_text_", F.xxhash64(text_col)).join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_")), "left_semi")
+    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_"), "text_key").distinct())
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_")) & (F.col("_text_") == F.col("text_key"))
+    d = docs.withColumn("_text_", F.xxhash64(text_col)).join(stay, same, "left_semi")
     return d.dropDuplicates([id_col, "_text_"]).select(*docs.columns)
 
 

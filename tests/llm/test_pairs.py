@@ -121,7 +121,7 @@ def test_repeated_passages(spark):
     rows = [(i, f"{prose(20 + i, 40 + i)} {passage} {prose(60 + i, 30)}") for i in range(6)]
     rows += [(10, f"{prose(90, 20)} {' '.join(edited * 1)} {prose(91, 9)}"), (11, prose(92, 200)), (12, prose(93, 70)), (13, f"{other} {prose(94, 8)}"), (14, f"{prose(95, 80)} {other.upper()}"), (15, rows[0][1])]
     rows += [(20 + i, f"{prose(7, 30)} {prose(200 + i, 90)}") for i in range(5)]  # thirty words are no passage
-    got = B.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = B.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), hashes=6).collect()
     words = {i: t.lower().split() for i, t in rows}
     spans = defaultdict(set)
     for r in got:
