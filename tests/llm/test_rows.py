@@ -147,7 +147,8 @@ def test_urls(spark):
             listed = any((x.host == h or x.host.endswith("." + h)) and x.path.startswith("/") for h in (k[:-1] for k in U.LISTED))
             assert x.rule == want and x.verdict == (dict(U.POLICY)[want] if want else "block" if listed else "allow")
     by = {x.page_id: x for x in got}
-    assert (by[0].host, by[0].path, by[4].host, by[7].host, by[7].path, by[18].host, by[20].path) == ("", "", "a.net", "example.net", "/en/1", "b:", "")
+    assert (by[0].host, by[0].path, by[7].host, by[7].path, by[18].host, by[20].path) == ("", "", "example.net", "/en/1", "b:", "")
+    assert sorted(x.host for x in got if x.page_id == 4) == ["a.net", "net"]  # two rows have that id
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{a:b}</style><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">Menu one</a></li></ul></nav>
