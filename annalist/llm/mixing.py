@@ -140,7 +140,8 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     m = mix(docs, **how)
     times = m.slots.groupBy("ordinal", "index").agg(F.count("*").alias("times"))
     # a piece's shard says nothing of its document: the key of this join is a block, which holds few documents
-    took = pieces(m).join(times, ["ordinal", "index"], "left").groupBy("ordinal", "start", "id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("piece_len") * F.col("times")), F.lit(0)).alias("taken"))
+    # the plan can't tell how many rows a sequence explodes to: without the hint it would broadcast them
+    took = pieces(m).join(times.hint("merge"), ["ordinal", "index"], "left").groupBy("ordinal", "start", "id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("piece_len") * F.col("times")), F.lit(0)).alias("taken"))
     out = ["id", "size", "source_size", "target", "taken"]
     return took.select(out).unionByName(m.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(out)).withColumnRenamed("id", "doc_id")
 
@@ -154,12 +155,12 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     m = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how)
     of = F.struct("piece_from", "piece_len")
-    took = pieces(m).join(m.slots.select("ordinal", "index", "epoch"), ["ordinal", "index"]).groupBy("key", "ordinal", "start", "size", "epoch").agg(F.sort_array(F.collect_list(of)).alias("_runs_"), F.sum("piece_len").alias("words"))
+    took = pieces(m).join(m.slots.select("ordinal", "index", "epoch").hint("merge"), ["ordinal", "index"]).groupBy("key", "ordinal", "start", "size", "epoch").agg(F.sort_array(F.collect_list(of)).alias("_runs_"), F.sum("piece_len").alias("words"))
     took = took.select(F.col("key").alias("_took_"), F.when(F.col("words") < F.col("size"), F.col("_runs_")).alias("_runs_"))
     one = docs.withColumn("_key_", row_key(id_col, source_col, text_col)).dropDuplicates(["_key_"])
     words = F.regexp_extract_all(text_col, F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), 0)
     some = F.rtrim(F.array_join(F.flatten(F.transform("_runs_", lambda r: F.slice(words, (r["piece_from"] + 1).cast("int"), r["piece_len"].cast("int")))), ""))
-    out = one.join(took, F.col("_key_") == F.col("_took_")).withColumn(text_col, F.when(F.col("_runs_").isNull(), F.col(text_col)).otherwise(some))
+    out = one.join(took.hint("merge"), F.col("_key_") == F.col("_took_")).withColumn(text_col, F.when(F.col("_runs_").isNull(), F.col(text_col)).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast("long"))
     return out.select(*docs.columns)
