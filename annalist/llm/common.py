@@ -13,12 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where there is none, as in local tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where there is none and the master is local."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="annalist-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,4 +51,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._scratch_path = at
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Deletes the tables of scratch() that nothing reads any more."""
+    for df in dfs:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
