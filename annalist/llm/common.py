@@ -57,7 +57,11 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*dfs: DataFrame) -> None:
-    """Deletes the tables of scratch() that nothing reads any more."""
+    """Deletes tables of scratch() that nothing reads any more, and lets Spark delete such shuffles' files.
+
+    Spark does so when the JVM's collector finds them gone, which on a driver with little to do is late.
+    """
     for df in dfs:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        df.sparkSession._jvm.System.gc()

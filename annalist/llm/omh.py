@@ -34,7 +34,7 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def kmers(text: str, k: int = K) -> np.ndarray:
-    """A hash of each k-mer of words with the number of its occurrence, in text order; fewer words than k are one k-mer."""
+    """A hash of each k-mer of words with the number of its occurrence, from 0, in text order; fewer words than k are one k-mer."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split()
@@ -48,12 +48,10 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     order = np.argsort(x, kind="stable")
     s = x[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    if not new.all():
-        at = np.arange(len(s))
-        nth = np.empty(len(s), np.uint64)
-        nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-        x = _mix(x + nth * _A)
-    return x
+    at = np.arange(len(s))
+    nth = np.empty(len(s), np.uint64)
+    nth[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return _mix(x + nth * _A)
 
 
 def signature(text: str, k: int = K, ell: int = ELL, sketches: int = SKETCHES) -> np.ndarray:
