@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from annalist.llm import chat as C
 from annalist.llm import html as X
@@ -130,6 +132,57 @@ def test_order_minhash_follows_order_and_edits():
     assert near(same, few) > 0.9 > near(same, moved) > 0.2 and near(same, " ".join(reversed(words))) < 0.1 and near(same, prose(6, 300)) < 0.1
 
 
+def brute_signature(text: str, k: int = 2, ell: int = 2, sketches: int = 64) -> list[int]:
+    """Order MinHash by its definition, in plain integers: numbered k-mers, the ell least by each hash, in text order."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & m
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & m
+        return x ^ x >> 31
+
+    words = text.encode("utf-8", "replace").lower().split()
+    k, seen, numbered = min(k, len(words)), {}, []
+    for i in range(len(words) - k + 1 if words else 0):
+        mer = tuple(words[i : i + k])
+        x = xxhash.xxh3_64_intdigest(mer[0])
+        for w in mer[1:]:
+            x = mix((x * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(w)) & m)
+        numbered.append(mix((x + seen.get(mer, 0) * 0x9E3779B97F4A7C15) & m))
+        seen[mer] = seen.get(mer, 0) + 1
+    out = []
+    for s in range(1, sketches + 1):
+        seed = mix(s * 0x9E3779B97F4A7C15 & m) | 1
+        least = sorted(range(len(numbered)), key=lambda i: (numbered[i] * seed & m, i))[:ell]  # noqa: B023
+        v = seed
+        for i in sorted(least):
+            v = mix((v * 0x9E3779B97F4A7C15 & m) ^ numbered[i])
+        out.append(v >> 48 if numbered else 0)
+    return out
+
+
+def test_order_minhash_against_its_definition():
+    r = random.Random(8)
+    texts = ["", " ", "one", "one two", "one two three", "a a a a a a", "x y " * 30, prose(1, 80), "É é É é z"] + [" ".join(r.choice("abcdef") for _ in range(r.randint(3, 60))) for _ in range(40)]
+    for text in texts:
+        assert O.signature(text).tolist() == brute_signature(text), text
+
+
+def test_order_minhash_falls_with_edits_whether_or_not_pairs_repeat():
+    near = lambda a, b: O.likeness(O.signature(a), O.signature(b))
+    words = prose(5, 300).split()
+    base = " ".join(words)
+    assert near(base, f"{base} {words[0]} {words[1]}") > 0.9  # one pair comes twice
+    for start in (words, words[:150] * 2):  # without and with repeats
+        last = 1.0
+        for n in (0, 5, 20, 80, 200):
+            other = start[: len(start) - n] + prose(70 + n, n).split()
+            value = near(" ".join(start), " ".join(other))
+            assert value <= last + 0.1, n
+            last = min(last, value)
+        assert last < 0.4
+
+
 def brute_rule(host: str, path: str) -> str | None:
     fits = [r for r, _ in U.POLICY for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
     return max(fits, key=len, default=None)
