@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,4 +65,6 @@ def forget(*dfs: DataFrame) -> None:
     for df in dfs:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # what Python holds of finished queries
+    for df in dfs[:1]:
         df.sparkSession._jvm.System.gc()
