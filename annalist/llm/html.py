@@ -11,16 +11,19 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: elements without content, elements whose content is no text of the page, and elements that don't break a line.
+#: Fixed: elements without content, elements whose content holds no markup and is no text of the page, other elements
+#: whose content is no text of the page (form fields, drawings, what is not shown), and elements that don't break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title noscript template svg math iframe object textarea select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+UNSEEN = frozenset("template svg select datalist canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msup msub".split())
 #: Fixed: an element that one of these opens closes an open one of the others.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 
@@ -38,21 +41,34 @@ class Block:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a whole page that have text, in page order; markup may be broken."""
+    """The blocks of a whole page that have text, in page order; markup may be broken and nested to any depth.
+
+    Of a block more than 200 elements deep, the outer 100 and the inner 100 are its path. An element of RAW that is
+    never closed holds the rest of the page; one of UNSEEN ends with the element around it.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links = in_link = 0
+    links = in_link = unseen = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                out.append(Block(text, tuple(stack), min(1.0, links / len(text))))
+            if text and not unseen:
+                path = stack if len(stack) <= 200 else stack[:100] + stack[-100:]
+                out.append(Block(text, tuple(path), min(1.0, links / len(text))))
             parts.clear()
         links = 0
 
+    def close(depth: int) -> None:
+        nonlocal unseen
+        for tag, _ in stack[depth:]:
+            opened[tag] -= 1
+            unseen -= tag in UNSEEN
+        del stack[depth:]
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -75,41 +91,58 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    in_link = 0
-                    break
-        elif tag in SKIPPED:
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                in_link = 0
+        elif tag in RAW:
             if not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = over.end() if over else end
-        elif tag not in VOID:
+        elif tag not in VOID and not (tag in UNSEEN and attributes.endswith("/")):
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if stack[i][0] in CLOSED_BY.get(tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table"):
                     break
             names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower() if "=" in attributes else ""
-            if len(stack) < 200:
-                stack.append((tag, names))
+            stack.append((tag, names))
+            opened[tag] += 1
+            unseen += tag in UNSEEN
     flush()
     return out
 
 
 def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
-    """Ancestor tags and the words of their classes and ids, once each, the innermost few by place too."""
+    """Ancestor tags and the words of their classes and ids, once each, and what the innermost telling one tells."""
     out = {f"in:{t}" for t, _ in path} | {f"is:{w}" for _, names in path for w in re.split(r"[\s_\-]+", names) if w}
     if path:
         out.add(f"own:{path[-1][0]}")
         section = next((t for t, _ in reversed(path) if t in ("nav", "aside", "footer", "header", "form", "article", "main", "section", "dialog")), "none")
         out.add(f"section:{section}")
+        told = next((x for x in map(_telling, reversed(path)) if x), "nothing")
+        out |= {f"told:{told}", f"told:{told} own:{path[-1][0]}"}
     return sorted(out)
 
 
+def _telling(element: tuple[str, str]) -> str:
+    """What an element's tag and names are common for: the article (main), other things (aside), both, or nothing."""
+    tag, names = element
+    words = {tag, *re.split(r"[\s_\-]+", names)}
+    main, aside = words & _words()[0], words & _words()[1]
+    return "both" if main and aside else "main" if main else "aside" if aside else ""
+
+
+@lru_cache(maxsize=1)
+def _words() -> tuple[frozenset[str], frozenset[str]]:
+    """Tags and words of names that MAIN and ASIDE tell apart."""
+    main, aside = ({t for t, *_ in kinds} | {w for _, names, *_ in kinds for w in re.split(r"[|\-]", names)} for kinds in (MAIN, ASIDE))
+    plain = {"", "div", "section", "ol", "ins"}
+    return frozenset(main - aside - plain), frozenset(aside - main - plain)
+
+
 def text_features(b: Block) -> list[str]:
     n = len(b.text)
     return [f"chars:{min(9, n.bit_length())}", f"linked:{int(b.linked * 3.99)}", "ends:" + ("stop" if b.text[-1] in ".!?…。" else "bare")]
@@ -193,7 +226,7 @@ ASIDE = [
     ("header", "header|site-header|masthead|page-header|", "text"), ("div", "header|top-header|logo|masthead|branding", "text"),
     ("footer", "footer|site-footer|page-footer|", "text"), ("div", "footer|copyright|colophon|bottom|legal", "text"),
     ("aside", "sidebar|aside|widget|related|", "text"), ("div", "sidebar|side|widget|related|recommended|popular|tags|share|social|author-box", "text"),
-    ("div", "ad|ads|advert|advertisement|banner|sponsored|promo|sponsor|ad-slot|adsbygoogle", "text"), ("ins", "ad|adsbygoogle", "text"),
+    ("div", "ad|ads|advert|advertisement|banner|sponsored|promo|sponsor|ad-slot|adsbygoogle", "text"), ("ins", "ad|adsbygoogle", "text"), ("noscript", "", "text"),
     ("div", "cookie|cookie-notice|notice|consent|gdpr|alert|cookie-banner|popup|modal|overlay|notification", "text"), ("dialog", "dialog|consent|", "text"),
     ("form", "search|newsletter|login|subscribe|signup|", "text"), ("div", "newsletter|subscribe|signup|paywall", "text"),
     ("section", "comments|comment-list|responses|discussion|reviews", "comments"), ("div", "comments|comment|disqus|respond|comment-thread", "comments"), ("ol", "comments|comment-list|commentlist", "comments"),
@@ -243,8 +276,12 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
                 main.append("<ul>" + "".join(f"<li>{own(1, 20)}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
             elif x < 0.9:
                 main.append(r.choice(["<blockquote>{}</blockquote>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>"]).format(own(1, 30)))
-            else:
+            else:  # an aside in the article, often with a short paragraph after it, which may be the last
                 main.append(aside())
+                if r.random() < 0.6:
+                    main.append(r.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>"]).format(own(1, 6)))
+        if r.random() < 0.3:
+            main += [aside(), r.choice(["<p>{}</p>", "<p>{}"]).format(own(1, r.choice([2, 8, 40])))]
         tag, names = r.choice(MAIN)
         body = [aside() for _ in range(r.randint(0, 4))] + [f"<{tag}{named(names)}>{''.join(main)}</{tag}>"] + [aside() for _ in range(r.randint(0, 4))]
         if r.random() < 0.4:
@@ -272,7 +309,8 @@ def main_text(page: str | None, f: Field) -> str:
 def extract(pages: DataFrame, html_col: str = "html", model: Field | None = None) -> DataFrame:
     """pages with text and n_chars (code points) for html_col, whose column goes; columns of those names are replaced.
 
-    A null or empty page has an empty text. Rows are judged one by one: repeated rows stay, empty tables give none.
+    A null or empty page has an empty text. Rows are judged one by one: repeated rows stay, empty tables give none. Very
+    long and very deep pages are read whole, in time that grows with their length.
     """
     f = model or trained_field()
 
