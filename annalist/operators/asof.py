@@ -11,17 +11,19 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     """left with the values of right's last row at or before ``at`` (the first at or after it, if forward).
 
     clamp: where there is none, the first (last) row of the key instead. tolerance: none farther than this. right has
-    one row for a key and place. One sort of both tables by key and place, in place of a range join.
+    one row for a key and place. One sort of both tables by key and place, in place of a range join, and one
+    pass over each key's rows.
     """
     pick = F.struct(F.col(at).alias("t"), *values)
     r = right.select(*keys, at, pick.alias("_found_"), F.lit(1 if forward else 0).alias("_left_"), F.lit(None).alias("_row_"))
     l = left.select(*keys, at, F.lit(None).alias("_found_"), F.lit(0 if forward else 1).alias("_left_"), F.struct(*left.columns).alias("_row_"))  # noqa: E741
     both = r.unionByName(l)
-    w = W.partitionBy(*keys).orderBy(at, "_left_")
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    found = F.first("_found_", ignorenulls=True).over(ahead) if forward else F.last("_found_", ignorenulls=True).over(back)
-    if clamp:
-        found = F.coalesce(found, F.last("_found_", ignorenulls=True).over(back) if forward else F.first("_found_", ignorenulls=True).over(ahead))
+    key = W.partitionBy(*keys)
+    w = key.orderBy(F.desc(at), F.desc("_left_")) if forward else key.orderBy(at, "_left_")
+    found = F.last("_found_", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    if clamp:  # the key's last or first row, taken once for the key
+        place = F.when(F.col("_found_").isNotNull(), F.col(at))
+        found = F.coalesce(found, (F.max_by if forward else F.min_by)("_found_", place).over(key))
     out = both.withColumn("_got_", found).where("_row_ is not null")
     if tolerance is not None:
         near = F.abs(F.col(at).cast("double") - F.col("_got_.t").cast("double")) <= tolerance

@@ -96,7 +96,7 @@ def q_subset_required(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with sold as (select l_suppkey % 20 as cand, list(distinct p_brand) as defined from lineitem join part on l_partkey = p_partkey where l_orderkey < 100 group by 1),
+with sold as (select l_suppkey % 20 as cand, list(distinct p_brand) as defined from lineitem join part on l_partkey = p_partkey group by 1),
 save as (select list(distinct p_brand) as seen from part where p_size = 7),
 m as (select cand, len(list_filter(seen, lambda x: not list_contains(defined, x)))::int as missing, len(list_filter(defined, lambda x: not list_contains(seen, x)))::int as unused from sold, save)
 select cand, missing, unused, missing + unused as distance, row_number() over (order by missing, unused, cand) as place from m
@@ -104,7 +104,7 @@ select cand, missing, unused, missing + unused as distance, row_number() over (o
 def q_candidate_match(spark: SparkSession, sf: str) -> DataFrame:
     """Which candidate's names fit those that a save uses: names missing, names unused, and the order of fit."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    sold = line.where("l_orderkey < 100").join(part, line.l_partkey == part.p_partkey).select((F.col("l_suppkey") % 20).alias("cand"), "p_brand").distinct()
+    sold = line.join(part, line.l_partkey == part.p_partkey).select((F.col("l_suppkey") % 20).alias("cand"), "p_brand").distinct()
     seen = part.where("p_size = 7").agg(F.collect_set("p_brand").alias("seen"))
     m = sold.groupBy("cand").agg(F.collect_set("p_brand").alias("defined")).join(F.broadcast(seen))
     m = m.select("cand", F.size(F.array_except("seen", "defined")).alias("missing"), F.size(F.array_except("defined", "seen")).alias("unused"))
@@ -167,11 +167,11 @@ def q_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select o_custkey as nation, o_orderdate as at_date, count(*) over (partition by o_custkey) as saves, dense_rank() over (partition by year(o_orderdate) order by o_custkey) as nth from orders where o_custkey < 50
+select o_custkey as nation, o_orderdate as at_date, count(*) over (partition by o_custkey) as saves, dense_rank() over (partition by year(o_orderdate) order by o_custkey) as nth from orders
 """)
 def q_great_power_order(spark: SparkSession, sf: str) -> DataFrame:
     """Places of nations in a save."""
-    o = table(spark, sf, "orders").where("o_custkey < 50")
+    o = table(spark, sf, "orders")
     return o.select(F.col("o_custkey").alias("nation"), F.col("o_orderdate").alias("at_date"), F.count("*").over(W.partitionBy("o_custkey")).alias("saves"), F.dense_rank().over(W.partitionBy(F.year("o_orderdate")).orderBy("o_custkey")).cast("long").alias("nth"))
 
 
@@ -188,12 +188,12 @@ def q_layered_override(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with g as (select l_orderkey as war, l_suppkey % 4 as actor, l_returnflag as cb, count(*) as had, count(*) filter (l_linestatus = 'F') as took from lineitem where l_orderkey < 2000 group by all)
+with g as (select l_orderkey as war, l_suppkey % 4 as actor, l_returnflag as cb, count(*) as had, count(*) filter (l_linestatus = 'F') as took from lineitem group by all)
 select war, actor, cb, had, took, case when took = had then 'met' when took > 0 then 'part' else 'none' end as outcome, (select count(distinct actor) from g b where b.war = g.war) as actors from g
 """)
 def q_goals_outcome(spark: SparkSession, sf: str) -> DataFrame:
     """What a war's goals asked for and what was taken of it."""
-    line = table(spark, sf, "lineitem").where("l_orderkey < 2000")
+    line = table(spark, sf, "lineitem")
     g = line.groupBy(F.col("l_orderkey").alias("war"), (F.col("l_suppkey") % 4).alias("actor"), F.col("l_returnflag").alias("cb")).agg(F.count("*").alias("had"), F.count_if(F.col("l_linestatus") == "F").alias("took"))
     g = g.withColumn("outcome", F.when(F.col("took") == F.col("had"), "met").when(F.col("took") > 0, "part").otherwise("none"))
     return g.withColumn("actors", F.size(F.collect_set("actor").over(W.partitionBy("war"))).cast("long"))

@@ -206,14 +206,14 @@ def q_side_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with t as (select l_shipdate, l_returnflag, sum(l_quantity)::bigint as n from lineitem where year(l_shipdate) = 1998 group by all),
-k as (select month(l_shipdate) as month, l_returnflag as kind, sum(n)::bigint as size from t group by all)
+with t as (select l_shipdate, l_returnflag, sum(l_quantity)::bigint as n from lineitem group by all),
+k as (select year(l_shipdate) * 12 + month(l_shipdate) - 1 as month, l_returnflag as kind, sum(n)::bigint as size from t group by all)
 select month, kind, size, max(size) over (partition by kind) as peak, round(100.0 * size / sum(size) over (partition by month), 2) as share_pct,
  (sum(size) over (partition by month) - size)::bigint as remainder from k
 """)
 def q_stacked_remainder(spark: SparkSession, sf: str) -> DataFrame:
     """A stacked series: each kind's size, its peak, its share of the month and what is left beside it."""
-    k = table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1998).groupBy(F.month("l_shipdate").cast("long").alias("month"), F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").cast("long").alias("size"))
+    k = table(spark, sf, "lineitem").groupBy(month("l_shipdate").alias("month"), F.col("l_returnflag").alias("kind")).agg(F.sum("l_quantity").cast("long").alias("size"))
     whole = F.sum("size").over(W.partitionBy("month"))
     return k.select("month", "kind", "size", F.max("size").over(W.partitionBy("kind")).alias("peak"), F.round(F.lit(100.0) * F.col("size") / whole, 2).alias("share_pct"), (whole - F.col("size")).alias("remainder"))
 
@@ -245,13 +245,13 @@ def q_rivals3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select c_custkey as customer, nullif(c_acctbal, greatest(c_acctbal, 0)) as debt, row_number() over (order by nullif(c_acctbal, greatest(c_acctbal, 0)) asc nulls last, c_custkey) as up,
-  row_number() over (order by nullif(c_acctbal, greatest(c_acctbal, 0)) desc nulls last, c_custkey) as down from customer where c_nationkey = 3
+select c_custkey as customer, nullif(c_acctbal, greatest(c_acctbal, 0)) as debt, row_number() over (partition by c_nationkey order by nullif(c_acctbal, greatest(c_acctbal, 0)) asc nulls last, c_custkey) as up,
+  row_number() over (partition by c_nationkey order by nullif(c_acctbal, greatest(c_acctbal, 0)) desc nulls last, c_custkey) as down from customer
 """)
 def q_nulls_last_sort_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Places in either direction, with nulls last in both."""
-    c = table(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("customer"), F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")).alias("debt"))
-    one = W.partitionBy(F.lit(0))
+    """Places within a nation in either direction, with nulls last in both."""
+    c = table(spark, sf, "customer").select("c_nationkey", F.col("c_custkey").alias("customer"), F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")).alias("debt"))
+    one = W.partitionBy("c_nationkey")
     up, down = (F.row_number().over(one.orderBy(o, "customer")).cast("long") for o in (F.asc_nulls_last("debt"), F.desc_nulls_last("debt")))
     return c.select("customer", "debt", up.alias("up"), down.alias("down"))
 

@@ -11,14 +11,14 @@ from ..operators.graph import components
 from ..operators.series import runs
 from .base import query, table
 
-CELLS = "c as (select p_partkey % 64 as x, p_partkey // 64 as y, (p_partkey % 64) // 5 + 20 * ((p_partkey // 64) // 4) as pid, p_size % 3 as owner, p_partkey from part where p_partkey < 2048)"
+CELLS = "c as (select p_partkey % 64 as x, p_partkey // 64 as y, (p_partkey % 64) // 5 + 20 * ((p_partkey // 64) // 4) as pid, p_size % 3 as owner, p_partkey from part)"
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     x, y = k % 64, F.floor(k / 64).cast("long")
     pid = (F.floor(x / 5) + 20 * F.floor(y / 4)).cast("long")
-    return table(spark, sf, "part").where(k < 2048).select(x.alias("x"), y.alias("y"), pid.alias("pid"), (F.col("p_size") % 3).cast("long").alias("owner"), k.alias("at"))
+    return table(spark, sf, "part").select(x.alias("x"), y.alias("y"), pid.alias("pid"), (F.col("p_size") % 3).cast("long").alias("owner"), k.alias("at"))
 
 
 @query(f"""
@@ -42,11 +42,11 @@ def q_rle_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 select p_partkey as n, lower(case when p_partkey < 36 then substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey + 1, 1) else
-  ltrim(substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey // 1296 % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey // 36 % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey % 36 + 1, 1), '0') end) as digits from part where p_partkey < 40000
+  ltrim(substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey // 1296 % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey // 36 % 36 + 1, 1) || substr('0123456789abcdefghijklmnopqrstuvwxyz', p_partkey % 36 + 1, 1), '0') end) as digits from part
 """)
 def q_base36(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers in base 36."""
-    return table(spark, sf, "part").where("p_partkey < 40000").select(F.col("p_partkey").alias("n"), base36(F.col("p_partkey")).alias("digits"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("n"), base36(F.col("p_partkey")).alias("digits"))
 
 
 @query(f"""

@@ -152,14 +152,14 @@ def q_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with w as (select user_id, event_type, min(event_id) as first, max(event_id) as last from events where user_id % 10 = 3 group by all)
-select d.at, count(*) as running from (select unnest(range(0, 10000, 100))::bigint as at) d join w on d.at between w.first and w.last group by 1
+with w as (select user_id, event_type, min(event_id) as first, max(event_id) as last from events group by all)
+select d.at, count(*) as running from (select unnest(range(0, (select max(event_id) + 1 from events), 100))::bigint as at) d join w on d.at between w.first and w.last group by 1
 """)
 def q_interval_running(spark: SparkSession, sf: str) -> DataFrame:
     """How many wars run on a date."""
-    e = table(spark, sf, "events").where("user_id % 10 = 3")
+    e = table(spark, sf, "events")
     wars = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"))
-    dates = spark.range(0, 10000, 100).select(F.col("id").alias("at"))
+    dates = e.agg(F.max("event_id").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"), F.lit(100).cast("long"))).alias("at"))
     return A.interval_join(dates, wars, "at", "first", "last", 2500).groupBy("at").agg(F.count("*").alias("running"))
 
 
@@ -176,11 +176,11 @@ def q_contested(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 select user_id, event_id, event_type, date_diff('second', date_trunc('second', ts), date_trunc('second', lead(ts) over (partition by user_id order by event_id)))::double as until_next, row_number() over (partition by user_id, event_type, dayofyear(ts) order by event_id) as nth
-from events where user_id < 40
+from events
 """)
 def q_nth_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers the battles that look alike within a war, and how long until the next one."""
-    e = table(spark, sf, "events").where("user_id < 40")
+    e = table(spark, sf, "events")
     second = F.date_trunc("second", "ts").cast("long")
     until = (F.lead(second).over(W.partitionBy("user_id").orderBy("event_id")) - second).cast("double")
     return e.select("user_id", "event_id", "event_type", until.alias("until_next"), F.row_number().over(W.partitionBy("user_id", "event_type", F.dayofyear("ts")).orderBy("event_id")).cast("long").alias("nth"))
@@ -202,14 +202,14 @@ def q_align_campaign_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with recursive r as (select user_id, event_type, event_id as s, event_id + (value * 20)::bigint as e, row_number() over (partition by user_id, event_type order by event_id) as nth from events where user_id < 60),
+with recursive r as (select user_id, event_type, event_id as s, event_id + (value * 20)::bigint as e, row_number() over (partition by user_id, event_type order by event_id) as nth from events),
 w as (select user_id, event_type, nth, s, e as until, 1 as war from r where nth = 1
   union all select r.user_id, r.event_type, r.nth, r.s, greatest(w.until, r.e), case when r.s <= w.until then w.war else w.war + 1 end from w join r on r.user_id = w.user_id and r.event_type = w.event_type and r.nth = w.nth + 1)
 select user_id, event_type, war, count(*) as records, min(s) as start, max(until) as until from w group by all
 """)
 def q_overlap_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Records of one war from many saves, merged where their spans meet."""
-    e = table(spark, sf, "events").where("user_id < 60").select("user_id", "event_type", F.col("event_id").alias("s"), (F.col("event_id") + F.round(F.col("value") * 20).cast("long")).alias("e"))
+    e = table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("s"), (F.col("event_id") + F.round(F.col("value") * 20).cast("long")).alias("e"))
     w = W.partitionBy("user_id", "event_type").orderBy("s")
     reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("s") <= reach, 0).otherwise(1)
@@ -218,12 +218,12 @@ def q_overlap_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select user_id, max(event_id) as last_battle, (select max(event_id) from events) - max(event_id) as quiet_for, (select max(event_id) from events) - max(event_id) > 50 as quiet, max(event_id) filter (event_type = 'view')::double as fixed_end from events group by 1
+select user_id, max(event_id) as last_battle, (select max(event_id) from events) - max(event_id) as quiet_for, (select max(event_id) from events) - max(event_id) > 50 as quiet, greatest(max(event_id) filter (event_type = 'view'), max(event_id))::double as fixed_end from events group by 1
 """)
 def q_quiet_wars(spark: SparkSession, sf: str) -> DataFrame:
     """Wars without a battle for long at the last save; an end is never before the last battle."""
     e = table(spark, sf, "events")
-    g = e.groupBy("user_id").agg(F.max("event_id").alias("last_battle"), F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).cast("double").alias("fixed_end"))
+    g = e.groupBy("user_id").agg(F.max("event_id").alias("last_battle"), F.greatest(F.max(F.when(F.col("event_type") == "view", F.col("event_id"))), F.max("event_id")).cast("double").alias("fixed_end"))
     g = g.join(F.broadcast(e.agg(F.max("event_id").alias("now"))))
     quiet = F.col("now") - F.col("last_battle")
     return g.select("user_id", "last_battle", quiet.alias("quiet_for"), (quiet > 50).alias("quiet"), "fixed_end")
