@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF weights of character n-grams.
 
 N-grams of one to three characters are hashed to a fixed number of features. Document frequencies are counted over
-every training document; the regression itself is fitted on a bounded sample (``per_lang`` documents of each of at most
-``max_langs`` languages, chosen by a hash of the id) by follow-the-regularised-leader with elastic-net penalties,
+every training document; the regression itself is fitted on a bounded sample (``per_lang`` documents of each language,
+fewer where languages are so many that they would exceed ``most_rows``, chosen by a hash of the id) by follow-the-regularised-leader with elastic-net penalties,
 and its temperature on a part of the sample that the fit has not seen. Predictions read whole texts.
 """
 
@@ -106,17 +106,18 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, max_langs: int = 200, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-3) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most_rows: int = 50_000, most_grams: int = 2048, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-3) -> Model:
     """Learns from the rows of labelled with a language and a text.
 
-    The driver gets the counts of at most max_langs languages, a document frequency for each of 16,384 features, and
-    the features of about per_lang * languages sampled documents. An empty table gives a model that predicts ``und``.
+    Every language is learned. The driver gets the count of each language, a document frequency for each of 16,384
+    features, and of about ``most_rows`` sampled documents at most (one at least for each language) the ``most_grams``
+    most frequent features, 12 KB each. An empty table gives a model that predicts ``und``.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not langs:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
-    names = sorted(langs)
+    names, per_lang = sorted(langs), max(1, min(per_lang, most_rows // len(langs)))
     share = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, per_lang / langs[k])))), F.col("lang"))
     chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     picked = F.coalesce(chance < share, F.lit(False))
@@ -134,6 +135,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 df[at] += 1
                 n += 1
                 if pick.as_py():
+                    if len(at) > most_grams:
+                        at = np.sort(at[np.argsort(-c[at], kind="stable")[:most_grams]])
                     got.append((lang.as_py(), un.as_py(), at.astype("<u2").tobytes(), c[at].astype("<f4").tobytes(), -1, 0))
             if got:
                 yield _batch(got)
@@ -181,15 +184,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return out.select("*", "_judged_.lang_pred", "_judged_.score").drop("_judged_")
 
 
-def in_a_language(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those whose language is ``und`` or has a probability below ``least``; learned from docs.
+def in_a_language(docs: DataFrame, least: float = 1.2, id_col: str = "doc_id", **how) -> DataFrame:
+    """docs without those whose language is ``und`` or has a probability below ``least`` times that of a mere guess.
 
-    Learns from all documents but held-out ones. If no document has a language, none is rejected.
+    Learns from all documents of docs but held-out ones. If no document has a language, none is rejected. Null, empty
+    and letterless texts are ``und``; repeated rows are judged alike; an empty table stays empty; other columns pass.
     """
     model = train(docs.where(~held_out(F.col(id_col))), id_col=id_col, **how)
     if not model.langs:
         return docs
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    judged = predict(docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), F.col("text").alias("text")), model)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(0.9, least / len(model.langs)))).select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
 
 
 def held_out(doc_id: Column) -> Column:
