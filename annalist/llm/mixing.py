@@ -4,7 +4,8 @@ Each source's documents are laid end to end and cut into blocks of ``block`` wor
 targets ask for, in shards of ``shard_slots``. A shard's counts of each source are a multinomial draw under the
 condition that the shards add up to the targets: one pseudorandom permutation of all slots deals them to shards.
 A source's slots, numbered through the shards, go through a pseudorandom permutation of its blocks, a new one each
-time all are used, and so meet their blocks by index. Everything is DataFrame functions; hashes are the only chance.
+time all are used, and so meet their blocks by index. Given the totals, such counts are what multinomial draws give (multivariate hypergeometric).
+Everything is DataFrame functions; hashes are the only chance.
 """
 
 from __future__ import annotations
