@@ -22,10 +22,10 @@ def share(part: Column, whole: Column, digits: int) -> Column:
 
 def people(t: dict[str, DataFrame]) -> DataFrame:
     """Each population group with its owner, whether its culture is accepted, its state is colonial, it is occupied."""
-    p = t["province"].select("save_id", "prov_ord", "owner", F.coalesce(F.nullif("controller", F.lit("")), "owner").alias("controller")).where("owner is not null and owner <> ''")
+    p = t["province"].select("save_id", "prov_ord", "owner", F.coalesce(F.nullif("controller", F.lit("")), "owner").alias("controller"), F.col("colonial").alias("own_level"), F.array_contains("cores", F.col("owner")).alias("is_core")).where("owner is not null and owner <> ''")
     accepted = t["country_list"].where("list = 'culture'").groupBy("save_id", F.col("tag").alias("owner")).agg(F.sort_array(F.collect_set("name")).alias("accepted"))
     own = t["country"].select("save_id", F.col("tag").alias("owner"), "primary_culture")
-    colonial = t["state"].where("is_colonial > 0").select("save_id", F.col("tag").alias("owner"), F.explode("provinces").alias("pid"), F.lit(True).alias("colonial_state")).distinct()
+    colonial = t["state"].where("is_colonial > 0").select("save_id", F.col("tag").alias("owner"), F.explode("provinces").alias("pid"), "is_colonial").groupBy("save_id", "owner", "pid").agg(F.lit(True).alias("colonial_state"), F.max("is_colonial").alias("state_level"))
     x = t["pop"].join(p, ["save_id", "prov_ord"]).join(own, ["save_id", "owner"], "left").join(accepted, ["save_id", "owner"], "left").join(colonial, ["save_id", "owner", "pid"], "left")
     is_accepted = F.coalesce((F.col("culture") == F.col("primary_culture")) | F.array_contains("accepted", F.col("culture")), F.lit(False))
     return x.withColumn("is_accepted", is_accepted).withColumn("colonial_state", F.coalesce("colonial_state", F.lit(False))).withColumn("occupied", F.col("controller") != F.col("owner"))
@@ -36,10 +36,12 @@ def world_population(t: dict[str, DataFrame]) -> DataFrame:
     return t["pop"].groupBy("save_id").agg(F.sum("size").alias("world_pop"))
 
 
-def nations(t: dict[str, DataFrame], per: float = 3000.0, rate: Column | None = None, mob_types=MOBILISED, occupied_too: bool = False, tags: list[str] | None = None, min_pop: int = 0) -> DataFrame:
+def nations(t: dict[str, DataFrame], per: float = 3000.0, rate: Column | None = None, mob_types=MOBILISED, occupied_too: bool = False, least: int = 1000, colony: float = 1.0, noncore: float = 1.0, protectorate: float = 1.0, tags: list[str] | None = None, min_pop: int = 0) -> DataFrame:
     """The fact table of nations by save: provinces, people, shares and averages, units, buildings, mobilisation.
 
     rate: the share of people that mobilise, a column of a nation's row (none by default). A nation has provinces.
+    Of soldiers, each group of at least ``least`` supports one brigade and one more for each ``per`` people, times the
+    rules' factor for protectorates (colonial level 1), other colonies, or provinces that are no core of their owner.
     """
     rate = F.lit(0.0) if rate is None else rate
     p = t["province"].where("owner is not null and owner <> ''").groupBy("save_id", F.col("owner").alias("tag")).agg(
@@ -52,12 +54,14 @@ def nations(t: dict[str, DataFrame], per: float = 3000.0, rate: Column | None =
     mobile = F.col("pop_type").isin(*mob_types) & F.col("is_accepted") & ~F.col("colonial_state") & (F.lit(occupied_too) | ~F.col("occupied"))
     mean = lambda c, k: F.round(F.sum(F.coalesce(c, F.lit(0.0)) * n) / F.sum(n), k)
     home = F.when(~F.col("colonial_state"), n).otherwise(0)
+    level = F.when(F.col("own_level") != 0, F.col("own_level")).otherwise(F.coalesce("state_level", F.lit(0)))
+    times = F.when(level == 1, F.lit(protectorate)).when(level != 0, F.lit(colony)).when(~F.coalesce("is_core", F.lit(False)), F.lit(noncore)).otherwise(F.lit(1.0))
     g = x.groupBy("save_id", F.col("owner").alias("tag")).agg(
         F.sum(n).alias("total_pop"), F.sum(home).alias("pop_noncolonial"), mean(F.col("literacy"), 5).alias("avg_literacy"), mean(F.col("con"), 4).alias("avg_consciousness"), mean(F.col("mil"), 4).alias("avg_militancy"),
         F.round(F.sum(F.coalesce("literacy", F.lit(0.0)) * home) / F.nullif(F.sum(home), F.lit(0)), 5).alias("avg_literacy_stated"), F.sum(F.when(F.col("is_accepted"), n).otherwise(0)).alias("accepted_pop"),
         F.sum(F.when(F.col("culture") == F.col("primary_culture"), n).otherwise(0)).alias("primary_culture_pop"), F.sum(F.when(F.col("life_needs") < 1.0, n).otherwise(0)).alias("life_unmet"),
         F.sum(F.when(F.col("life_needs") < 0.05, n).otherwise(0)).alias("starving"), F.sum(F.when(soldiers & ~F.col("colonial_state"), n).otherwise(0)).alias("soldiers_noncolonial"), *stratum.values(),
-        F.sum(F.when(soldiers & (n >= per / 3), 1 + F.floor(n / per)).otherwise(0)).alias("supported"), F.sum(F.when(mobile, n).otherwise(0)).alias("mobilization_pool"), F.count_if(mobile).alias("mobilization_pops"),
+        F.sum(F.when(soldiers & (n >= least), 1 + F.floor(n / (per * times))).otherwise(0)).alias("supported"), F.sum(F.when(mobile, n).otherwise(0)).alias("mobilization_pool"), F.count_if(mobile).alias("mobilization_pops"),
         F.array_sort(F.collect_list(F.when(mobile, F.struct("prov_ord", "pop_ord", "size")))).alias("mobile"),
     )
     kinds = t["pop"].select("save_id", F.col("id").alias("pop_id"), "pop_type").join(t["unit"].where("unit = 'regiment'").select("save_id", "pop_id"), ["save_id", "pop_id"], "left_semi").dropDuplicates(["save_id", "pop_id"])

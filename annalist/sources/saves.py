@@ -105,7 +105,14 @@ def read_leaves(files: DataFrame) -> DataFrame:
 
 
 #: Fixed: the fields of a population group that are known; of the others, the one whose value is no number is the culture.
-POP_FIELDS = ["id", "size", "money", "ideology", "issues", "con", "mil", "literacy", "life_needs", "everyday_needs", "luxury_needs", "promoted", "demoted", "bank", "con_factor", "days_of_loss", "movement_issue", "local_migration", "size_changes", "conversion", "colonial_migration", "external_migration", "assimilation", "type", "random", "production_type"]
+POP_FIELDS = [
+    "id", "size", "money", "ideology", "issues", "mil", "con", "literacy", "bank", "con_factor", "luxury_needs", "everyday_needs", "life_needs",
+    "size_changes", "movement", "promoted", "demoted", "days_of_loss", "converted", "local_migration", "external_migration", "colonial_migration",
+    "assimilated", "type", "faction", "random", "political_movement", "social_movement", "supported_regiment", "employed", "stockpile",
+    "movement_tag", "movement_issue", "need", "production_type", "last_spending", "current_producing", "percent_afforded",
+    "percent_sold_domestic", "percent_sold_export", "leftover", "throttle", "needs_cost", "production_income", "promotion", "literacy_change",
+    "con_change", "mil_change",
+]
 
 
 def _inside(nth: int) -> Column:

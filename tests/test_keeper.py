@@ -1,6 +1,6 @@
 from annalist.streaming import keeper as K
 
-from .savebuilder import furnished
+from .savebuilder import islands
 
 
 def test_choose():
@@ -15,8 +15,8 @@ def test_stream_files_snapshots_into_campaigns(spark, tmp_path):
     folder = tmp_path / "saves"
     folder.mkdir()
     for i, (date, tag) in enumerate([("1836.1.1", "PRU"), ("1836.2.1", "PRU"), ("1836.3.1", "GER")]):
-        (folder / f"auto{i}.v2").write_bytes(furnished(date).replace(b'player="SWE"', f'player="{tag}"'.encode()))
-    (folder / "other.v2").write_bytes(furnished("1836.5.1").replace(b"\ta=yes", b"\tq=yes").replace(b"\tb=yes", b"\tr=yes").replace(b"\tc=yes", b"\ts=yes").replace(b"\td=yes\r\n", b"\r\n"))
+        (folder / f"auto{i}.v2").write_bytes(islands(date).replace(b'player="ZAN"', f'player="{tag}"'.encode()))
+    (folder / "other.v2").write_bytes(islands("1836.5.1").replace(b"\ta=yes", b"\tq=yes").replace(b"\tb=yes", b"\tr=yes").replace(b"\tc=yes", b"\ts=yes").replace(b"\td=yes\r\n", b"\r\n"))
     q = K.watch(spark, str(folder)).writeStream.format("memory").queryName("filed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {r.path.rsplit("/", 1)[1]: r.campaign for r in spark.table("filed").collect()}
