@@ -48,6 +48,28 @@ def losses(n: Column) -> Column:
     return F.when(n < 0, n + 4294967).otherwise(n)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """x to so many decimals (0 to 15), where a double's exact binary value decides and only true ties go to the even digit.
+
+    F.round() and F.bround() decide by a double's shortest decimal: 2.675 is a tie there, but lies below one. Here twice
+    the scaled value is an exact sum of two doubles, its product and that product's error, which is held against the
+    odd number between the two candidates. Null, NaN and infinite stay; so does what has no such digits left.
+    """
+    x = x.cast("double")
+    scale, split = 2.0 * 10.0**digits, 134217729.0  # 2^27 + 1 halves a double's bits
+    a = F.abs(x)
+    p = a * F.lit(scale)
+    c, d = a * F.lit(split), scale * split
+    a_high, s_high = c - (c - a), d - (d - scale)
+    a_low, s_low = a - a_high, scale - s_high
+    error = a_low * F.lit(s_low) - (((p - a_high * F.lit(s_high)) - a_low * F.lit(s_high)) - a_high * F.lit(s_low))
+    low = F.floor(p / 2)
+    over = (p - (low * 2 + 1)) + error
+    whole = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+    out = whole.cast("double") / F.lit(scale / 2)
+    return F.when(F.isnan(x) | (p >= F.lit(2.0**53)) | x.isNull(), x).otherwise(F.when(x < 0, -out).otherwise(out))
+
+
 def clamped(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

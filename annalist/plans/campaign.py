@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import month_shift, year_of
+from ..functions.scalars import half_even, month_shift, year_of
 from ..operators.folds import brigades
 from ..operators.series import anchored_growth, gain, latest_wins
 
@@ -17,7 +17,7 @@ MOBILISED = ("farmers", "labourers", "craftsmen")
 
 
 def share(part: Column, whole: Column, digits: int) -> Column:
-    return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, digits)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, half_even(F.lit(100.0) * part / whole, digits)).otherwise(F.lit(0.0))
 
 
 def people(t: dict[str, DataFrame]) -> DataFrame:
@@ -52,13 +52,13 @@ def nations(t: dict[str, DataFrame], per: float = 3000.0, rate: Column | None =
     n, soldiers = F.col("size"), F.col("pop_type") == "soldiers"
     stratum = {k: F.sum(F.when(F.col("pop_type").isin(v), n).otherwise(0)).alias(f"pop_{k}") for k, v in STRATA.items()}
     mobile = F.col("pop_type").isin(*mob_types) & F.col("is_accepted") & ~F.col("colonial_state") & (F.lit(occupied_too) | ~F.col("occupied"))
-    mean = lambda c, k: F.round(F.sum(F.coalesce(c, F.lit(0.0)) * n) / F.sum(n), k)
+    mean = lambda c, k: half_even(F.sum(F.coalesce(c, F.lit(0.0)) * n) / F.sum(n), k)
     home = F.when(~F.col("colonial_state"), n).otherwise(0)
     level = F.when(F.col("own_level") != 0, F.col("own_level")).otherwise(F.coalesce("state_level", F.lit(0)))
     times = F.when(level == 1, F.lit(protectorate)).when(level != 0, F.lit(colony)).when(~F.coalesce("is_core", F.lit(False)), F.lit(noncore)).otherwise(F.lit(1.0))
     g = x.groupBy("save_id", F.col("owner").alias("tag")).agg(
         F.sum(n).alias("total_pop"), F.sum(home).alias("pop_noncolonial"), mean(F.col("literacy"), 5).alias("avg_literacy"), mean(F.col("con"), 4).alias("avg_consciousness"), mean(F.col("mil"), 4).alias("avg_militancy"),
-        F.round(F.sum(F.coalesce("literacy", F.lit(0.0)) * home) / F.nullif(F.sum(home), F.lit(0)), 5).alias("avg_literacy_stated"), F.sum(F.when(F.col("is_accepted"), n).otherwise(0)).alias("accepted_pop"),
+        half_even(F.sum(F.coalesce("literacy", F.lit(0.0)) * home) / F.nullif(F.sum(home), F.lit(0)), 5).alias("avg_literacy_stated"), F.sum(F.when(F.col("is_accepted"), n).otherwise(0)).alias("accepted_pop"),
         F.sum(F.when(F.col("culture") == F.col("primary_culture"), n).otherwise(0)).alias("primary_culture_pop"), F.sum(F.when(F.col("life_needs") < 1.0, n).otherwise(0)).alias("life_unmet"),
         F.sum(F.when(F.col("life_needs") < 0.05, n).otherwise(0)).alias("starving"), F.sum(F.when(soldiers & ~F.col("colonial_state"), n).otherwise(0)).alias("soldiers_noncolonial"), *stratum.values(),
         F.sum(F.when(soldiers & (n >= least), 1 + F.floor(n / (per * times))).otherwise(0)).alias("supported"), F.sum(F.when(mobile, n).otherwise(0)).alias("mobilization_pool"), F.count_if(mobile).alias("mobilization_pops"),
@@ -95,7 +95,7 @@ def long_counts(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     by_culture = x.groupBy("save_id", F.col("owner").alias("tag"), "culture").agg(F.sum("size").alias("size"), F.max(F.col("is_accepted").cast("int")).alias("accepted"), F.min(F.struct("prov_ord", "pop_ord")).alias("seen"))
     by_culture = by_culture.withColumn("place", F.row_number().over(W.partitionBy("save_id", "tag").orderBy(F.desc("size"), "seen"))).drop("seen").join(stamp, "save_id")
     crew = F.greatest(F.coalesce("strength", F.lit(100.0)), F.lit(0.0)) / (1 - F.least(F.greatest(F.col("experience"), F.lit(0.0)), F.lit(0.95)))
-    ships = u.where("unit = 'ship'").groupBy("save_id", "tag", F.col("kind").alias("ship_type")).agg(F.count("*").alias("count"), F.round(F.sum(crew) / 100, 3).alias("effective")).join(stamp, "save_id")
+    ships = u.where("unit = 'ship'").groupBy("save_id", "tag", F.col("kind").alias("ship_type")).agg(F.count("*").alias("count"), half_even(F.sum(crew) / 100, 3).alias("effective")).join(stamp, "save_id")
     regiments = u.where("unit = 'regiment'").groupBy("save_id", "tag", F.col("kind").alias("regiment_type")).agg(F.count("*").alias("count")).join(stamp, "save_id")
     return {"pops_by_type": by_type, "pops_by_culture": by_culture, "ships_by_type": ships, "brigades_by_type": regiments}
 
@@ -111,7 +111,7 @@ def prices(t: dict[str, DataFrame], last_update: DataFrame) -> DataFrame:
     now = t["market"].where("pool = 'price_pool' and good is not null").join(t["saves"].select("save_id", "date"), "save_id").select("save_id", "date", "good", "value", F.lit(1).alias("current"))
     both = h.union(now).join(t["saves"].select("save_id", "year_frac"), "save_id")
     best = latest_wins(both, ["date", "good"], [F.desc("year_frac"), F.desc("current")])
-    return best.select("date", year_of(F.col("date")).alias("year"), "good", F.round("value", 5).alias("price"))
+    return best.select("date", year_of(F.col("date")).alias("year"), "good", half_even(F.col("value"), 5).alias("price"))
 
 
 def market_snapshot(t: dict[str, DataFrame]) -> DataFrame:
@@ -121,7 +121,7 @@ def market_snapshot(t: dict[str, DataFrame]) -> DataFrame:
     g = m.groupBy("save_id", "good").pivot("pool", list(pools)).agg(F.max_by("value", "ord"))
     for a, b in pools.items():
         g = g.withColumnRenamed(a, b)
-    g = g.withColumns({c: F.round(F.coalesce(c, F.lit(0.0)), 5 if c == "price" else 3) for c in pools.values()}).withColumn("discovered", F.col("discovered") > 0)
+    g = g.withColumns({c: half_even(F.coalesce(c, F.lit(0.0)), 5 if c == "price" else 3) for c in pools.values()}).withColumn("discovered", F.col("discovered") > 0)
     return g.join(t["saves"].select("save_id", "date"), "save_id")
 
 
@@ -152,21 +152,25 @@ def successions(t: dict[str, DataFrame], may_form: DataFrame, least: float = 0.5
     home = t["country"].join(t["saves"].select("save_id", "campaign"), "save_id").groupBy("campaign", F.col("tag").alias("old")).agg(F.max("primary_culture").alias("culture"))
     takes = t["country"].select("save_id", F.col("tag").alias("new"), F.col("primary_culture").alias("culture")).union(t["country_list"].where("list = 'culture'").select("save_id", F.col("tag").alias("new"), F.col("name").alias("culture"))).distinct()
     s = s.join(home, ["campaign", "old"], "left").join(takes.withColumn("accepts", F.lit(True)), ["save_id", "new", "culture"], "left").join(may_form.select("old", "new", F.lit(True).alias("may")), ["old", "new"], "left")
-    return s.where("coalesce(accepts, may, false)").select("campaign", "save_id", "old", "new", F.round(F.col("shared") / F.col("n"), 4).alias("share"))
+    return s.where("coalesce(accepts, may, false)").select("campaign", "save_id", "old", "new", half_even(F.col("shared") / F.col("n"), 4).alias("share"))
 
 
-def war_book(t: dict[str, DataFrame]) -> DataFrame:
-    """One record of each war from all saves: records of one name and leaders are one war where their spans meet.
+def war_records(t: dict[str, DataFrame]) -> DataFrame:
+    """The records of wars in all saves, numbered (war) so that those of one war, by its name and leaders, have one number.
 
-    An open record reaches to the end of time. Start is the first, end that of a closed record, active if none is closed.
+    They are one war where their spans meet. An open record reaches to the end of time.
     """
     w = t["war"].join(t["saves"].select("save_id", "campaign", "year_frac"), "save_id").where("start is not null")
     key = ["campaign", "name", "attacker", "defender"]
     w = w.withColumn("reach", F.when(F.col("active"), F.lit(9999.0)).otherwise(F.coalesce("until", "start")))
     by = W.partitionBy(*key).orderBy("start", "year_frac")
     new = F.when(F.col("start") <= F.max("reach").over(by.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
-    w = w.withColumn("_new_", new).withColumn("war", F.sum("_new_").over(by))
-    return w.groupBy(*key, "war").agg(F.min("start").alias("start"), F.max(F.when(~F.col("active"), F.col("until"))).alias("until"), F.bool_and("active").alias("active"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("parties")))).alias("parties"), F.count("*").alias("records"))
+    return w.withColumn("_new_", new).withColumn("war", F.sum("_new_").over(by)).drop("_new_", "reach")
+
+
+def war_book(t: dict[str, DataFrame]) -> DataFrame:
+    """Each war once. Start is the first, end that of a closed record, active if none is closed."""
+    return war_records(t).groupBy("campaign", "name", "attacker", "defender", "war").agg(F.min("start").alias("start"), F.max(F.when(~F.col("active"), F.col("until"))).alias("until"), F.bool_and("active").alias("active"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("parties")))).alias("parties"), F.count("*").alias("records"))
 
 
 def great_powers(t: dict[str, DataFrame]) -> DataFrame:
@@ -182,7 +186,7 @@ def growth(n: DataFrame, measure: str, span: float = 0.25) -> DataFrame:
 
 def gains(n: DataFrame, measure: str) -> DataFrame:
     """n with gain: what a measure gained since its last reading."""
-    return n.withColumn("gain", F.round(gain(n, ["campaign", "tag"], "year_frac", measure).cast("double"), 4))
+    return n.withColumn("gain", half_even(gain(n, ["campaign", "tag"], "year_frac", measure).cast("double"), 4))
 
 
 def across_campaigns(n: DataFrame) -> DataFrame:

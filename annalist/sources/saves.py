@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import date_parts, whole_number, year_fraction
+from ..functions.scalars import date_parts, losses, whole_number, year_fraction
 
 TOKEN = re.compile(r'"([^"]*)"?|([{}=])|([^\s{}="#]+)|#[^\n]*')
 
 #: Fixed: the blocks of a file, besides provinces (numbers) and countries (tags), that tables are made from.
 KEPT = frozenset(["worldmarket", "active_war", "previous_war", "great_nations", "flags"])
 
+DATED = r"^\d{1,4}\.\d{1,2}\.\d{1,2}$"
+
 LEAVES = "save_id string, ord int, top string, top_ord int, path array<string>, block int, parent int, key string, value string"
 
 
@@ -176,9 +178,52 @@ def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     w = rows.where(F.col("top").isin("active_war", "previous_war"))
     war = w.groupBy("save_id", F.col("top_ord").alias("war_ord"), (F.col("top") == "active_war").alias("active")).agg(
         _last("name", at_top).alias("name"), _last("original_attacker", at_top).alias("attacker"), _last("original_defender", at_top).alias("defender"),
-        F.min(F.when(_inside(2).rlike(r"^\d{1,4}\.\d{1,2}\.\d{1,2}$"), year_fraction(_inside(2)))).alias("start"), F.max(F.when(_inside(2).rlike(r"^\d{1,4}\.\d{1,2}\.\d{1,2}$"), year_fraction(_inside(2)))).alias("until"),
+        F.min(F.when(_inside(2).rlike(DATED), year_fraction(_inside(2)))).alias("start"), F.max(F.when(_inside(2).rlike(DATED), year_fraction(_inside(2)))).alias("until"),
         F.collect_set(F.when(F.col("key").isin("add_attacker", "add_defender"), F.col("value"))).alias("parties"),
     )
     great = rows.where((F.col("top") == "great_nations") & F.col("key").isNull() & F.col("value").isNotNull())
     great = great.select("save_id", F.row_number().over(W.partitionBy("save_id").orderBy("ord")).alias("rank"), F.col("value").try_cast("int").alias("country_index"))
     return {"saves": saves, "province": province, "pop": pop, "country": country, "country_list": country_list, "state": state, "unit": unit, "market": market, "war": war, "great_nation": great}
+
+
+def war_parts(rows: DataFrame) -> dict[str, DataFrame]:
+    """What the records of wars hold, by save_id and war_ord: moves, goals, battles.
+
+    moves: date, joins (else leaves), attacks, tag. goals: casus_belli, actor, receiver, province, added, fulfilled (null
+    of a war's first goal, ``first``). battles: name, location, date (null if none), won by the attacker, and of the
+    attacker (a_) and the defender (d_) country, leader, losses and units, an array of (unit, n) in the file's order.
+    """
+    w = rows.where(F.col("top").isin("active_war", "previous_war")).withColumnRenamed("top_ord", "war_ord")
+    dated = (_inside(1) == "history") & _inside(2).rlike(DATED)
+    moves = w.where(dated & (F.size("path") == 2) & F.col("key").isin("add_attacker", "add_defender", "rem_attacker", "rem_defender"))
+    moves = moves.select("save_id", "war_ord", _inside(2).alias("date"), F.startswith("key", F.lit("add")).alias("joins"), F.endswith("key", F.lit("attacker")).alias("attacks"), F.col("value").alias("tag"))
+
+    first = _inside(1) == "original_wargoal"
+    text = lambda key: F.coalesce(_last(key), F.lit("")).alias(key)
+    goals = w.where((F.size("path") == 1) & _inside(1).isin("war_goal", "original_wargoal")).groupBy("save_id", "war_ord", "block", first.alias("first")).agg(
+        text("casus_belli"), text("actor"), text("receiver"), whole_number(_last("state_province_id")).alias("province"), F.coalesce(_last("date"), F.lit("")).alias("added"),
+        F.when(~F.col("first"), F.coalesce(_last("is_fulfilled") == "yes", F.lit(False))).alias("fulfilled"),
+    )
+    goals = goals.where((F.col("actor") != "") | ((F.col("receiver") != "") & ~F.col("first")))
+
+    depth = F.when((_inside(1) == "history") & (_inside(2) == "battle"), 2).when(dated & (_inside(3) == "battle"), 3)
+    b = w.withColumn("depth", depth).where(F.size("path").isin(F.col("depth"), F.col("depth") + 1))
+    side = F.when((F.size("path") > F.col("depth")) & _inside(-1).isin("attacker", "defender"), _inside(-1))
+    own = F.size("path") == F.col("depth")
+    b = b.withColumn("side", side).withColumn("battle", F.when(own, F.col("block")).otherwise(F.col("parent")))
+
+    def of(who: str, sign: str) -> list[Column]:
+        here = F.col("side") == who
+        people = losses(whole_number(F.col("value")))
+        unit = here & ~F.col("key").isin("country", "leader", "losses") & ~F.startswith("key", F.lit("_")) & (people != 0)
+        units = F.array_sort(F.collect_list(F.when(unit, F.struct("ord", F.col("key").alias("unit"), people.alias("n")))))
+        return [
+            F.coalesce(_last("country", here), F.lit("")).alias(f"{sign}_country"), F.coalesce(_last("leader", here), F.lit("")).alias(f"{sign}_leader"),
+            losses(whole_number(_last("losses", here))).alias(f"{sign}_losses"), F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["n"].alias("n"))).alias(f"{sign}_units"),
+        ]
+
+    battles = b.groupBy("save_id", "war_ord", "battle").agg(
+        F.coalesce(_last("name", own), F.lit("")).alias("name"), whole_number(_last("location", own)).alias("location"), F.max(F.when(F.col("depth") == 3, _inside(2))).alias("date"),
+        F.coalesce(_last("result", own) == "yes", F.lit(False)).alias("won"), *of("attacker", "a"), *of("defender", "d"),
+    )
+    return {"moves": moves, "goals": goals, "battles": battles}
