@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import matching, rollups, space, texts, timelines
+from .plans import fleets, matching, rollups, space, texts, timelines
 from .plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "matching", "rollups", "space", "texts", "timelines"]
+__all__ = ["ORACLE", "QUERIES", "fleets", "matching", "rollups", "space", "texts", "timelines"]

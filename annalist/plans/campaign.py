@@ -115,13 +115,13 @@ def prices(t: dict[str, DataFrame], last_update: DataFrame) -> DataFrame:
 
 
 def market_snapshot(t: dict[str, DataFrame]) -> DataFrame:
-    """Each save's goods with their price, pools, and whether they are discovered."""
+    """Each save's goods with their price, pools, and whether they are discovered and pegged (a demand over 1e9)."""
     pools = {"price_pool": "price", "worldmarket_pool": "world_pool", "supply_pool": "supply", "demand": "demand", "real_demand": "real_demand", "actual_sold": "actual_sold", "discovered_goods": "discovered"}
     m = t["market"].where(F.col("pool").isin(*pools) & F.col("good").isNotNull())
     g = m.groupBy("save_id", "good").pivot("pool", list(pools)).agg(F.max_by("value", "ord"))
     for a, b in pools.items():
         g = g.withColumnRenamed(a, b)
-    g = g.withColumns({c: half_even(F.coalesce(c, F.lit(0.0)), 5 if c == "price" else 3) for c in pools.values()}).withColumn("discovered", F.col("discovered") > 0)
+    g = g.withColumns({c: half_even(F.coalesce(c, F.lit(0.0)), 5 if c == "price" else 3) for c in pools.values()}).withColumns({"discovered": F.col("discovered") > 0, "pegged": F.col("demand") > 1e9})
     return g.join(t["saves"].select("save_id", "date"), "save_id")
 
 
