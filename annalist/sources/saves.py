@@ -25,12 +25,13 @@ DATED = r"^\d{1,4}\.\d{1,2}\.\d{1,2}$"
 LEAVES = "save_id string, ord int, top string, top_ord int, path array<string>, block int, parent int, key string, value string"
 
 
-def leaves(text: str) -> Iterator[tuple]:
+def leaves(text: str, every: bool = False) -> Iterator[tuple]:
     """(ord, top, top_ord, path, block, parent, key, value) of a snapshot's leaves, in order.
 
     top and top_ord: the top-level key and its number; path: the keys of the blocks inside it; block and parent: the
     numbers of the innermost block and the one around it. A bare item of a list has no key. A block without leaves
     has one of neither key nor value. Unclosed and surplus braces are borne.
+    Blocks at the top that no table of a snapshot is made from are passed over, unless every one is wanted.
     """
     tokens = [(m[3], 0) if m[3] is not None else (m[1], 0) if m[1] is not None else (m[2], 1) for m in TOKEN.finditer(text) if m[0][0] != "#"]
     stack: list[list] = []  # key, number, leaves so far
@@ -58,7 +59,7 @@ def leaves(text: str) -> Iterator[tuple]:
         elif mark and t == "{":
             if not stack:
                 tops += 1
-                wanted = bool(key) and (key in KEPT or key.isdigit() or re.fullmatch(r"[A-Z][A-Z0-9]{2}", key) is not None)
+                wanted = every or bool(key) and (key in KEPT or key.isdigit() or re.fullmatch(r"[A-Z][A-Z0-9]{2}", key) is not None)
             else:
                 stack[-1][2] += 1
             blocks += 1
