@@ -130,7 +130,7 @@ def _last(key: str, inside: Column | None = None) -> Column:
 
 
 def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """A campaign's tables by name: saves, province, pop, country, country_list, state, unit, market, war, great_nation.
+    """A campaign's tables by name: saves, province, pop, country, country_list, country_field, state, unit, market, war, great_nation.
 
     files: as one_per_date(); rows: their leaves, which should be persisted.
     """
@@ -158,6 +158,7 @@ def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     scalar = {k: _last(k, at_top) for k in ("primary_culture", "government", "civilized", "nationalvalue", "human", "mobilize")}
     numeric = {k: _last(k, at_top).try_cast("double") for k in ("prestige", "badboy", "money", "tax_base", "research_points", "war_exhaustion", "revanchism", "plurality", "capital", "ruling_party")}
     country = c.groupBy("save_id", F.col("top").alias("tag")).agg(F.min("ord").alias("ord"), *(v.alias(k) for k, v in (scalar | numeric).items()))
+    country_field = c.where(at_top & F.col("key").isNotNull()).groupBy("save_id", F.col("top").alias("tag"), "key").agg(F.max_by("value", "ord").alias("value"), F.max("ord").alias("ord"))
     entry = _inside(1)
     country_list = c.where((F.size("path") >= 1) & entry.isin("culture", "technology", "active_inventions", "flags", "saved_country_supply", "modifier")).select(
         "save_id", F.col("top").alias("tag"), "ord", entry.alias("list"), F.when(F.size("path") > 1, _inside(2)).otherwise(F.coalesce("key", "value")).alias("name"), "value", (F.col("key").isNull()).alias("bare"), "block"
@@ -184,7 +185,7 @@ def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     )
     great = rows.where((F.col("top") == "great_nations") & F.col("key").isNull() & F.col("value").isNotNull())
     great = great.select("save_id", F.row_number().over(W.partitionBy("save_id").orderBy("ord")).alias("rank"), F.col("value").try_cast("int").alias("country_index"))
-    return {"saves": saves, "province": province, "pop": pop, "country": country, "country_list": country_list, "state": state, "unit": unit, "market": market, "war": war, "great_nation": great}
+    return {"saves": saves, "province": province, "pop": pop, "country": country, "country_list": country_list, "country_field": country_field, "state": state, "unit": unit, "market": market, "war": war, "great_nation": great}
 
 
 def war_parts(rows: DataFrame) -> dict[str, DataFrame]:
