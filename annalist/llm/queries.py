@@ -12,6 +12,7 @@ from .simhash import op1_simhash_dedup
 from .substring import op4_substring_dedup
 from .topk import OP3_SQL, op3_exact_top_k
 from .urls import OP7_SQL, op7_url_filter
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_pack_documents": op8_pack_documents,
     "op9_html_main_text": op9_html_main_text,
     "op10_mix_sources": op10_mix_sources,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
     "op3_exact_top_k": OP3_SQL,
     "op7_url_filter": OP7_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
