@@ -10,6 +10,7 @@ from .omh import op6_order_minhash
 from .packing import op8_pack_documents
 from .simhash import op1_simhash_dedup
 from .substring import op4_substring_dedup
+from .token_files import op11_token_files
 from .topk import OP3_SQL, op3_exact_top_k
 from .urls import OP7_SQL, op7_url_filter
 from .vector_codes import OP13_SQL, op13_vector_codes
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pack_documents": op8_pack_documents,
     "op9_html_main_text": op9_html_main_text,
     "op10_mix_sources": op10_mix_sources,
+    "op11_token_files": op11_token_files,
     "op13_vector_codes": op13_vector_codes,
 }
 
