@@ -8,6 +8,7 @@ from .langid import op2_language_id
 from .mixing import op10_mix_sources
 from .omh import op6_order_minhash
 from .packing import op8_pack_documents
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .simhash import op1_simhash_dedup
 from .substring import op4_substring_dedup
 from .token_files import op11_token_files
@@ -27,11 +28,13 @@ QUERIES = {
     "op9_html_main_text": op9_html_main_text,
     "op10_mix_sources": op10_mix_sources,
     "op11_token_files": op11_token_files,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE = {
     "op3_exact_top_k": OP3_SQL,
     "op7_url_filter": OP7_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
