@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import forget, scratch, shared_dir, table
 
 MAGIC, FOOTER = b"ANNTOK1\n", "<QQ8s"
 INDEX = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("at", "<u8"), ("tokens", "<u8")])
@@ -77,24 +77,41 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 1000, sample_chars: int = 16_384, size: int = 65_536) -> bytes:
-    """A dictionary of ``size`` bytes from at most ``sample_docs`` documents of at most ``sample_chars`` characters.
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, h (the text's hash), nth (of the rows as read), and the ids of each whole text with the end id, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import chunk_tokenizer
+
+        t = chunk_tokenizer(tokenizer_path)
+        end = np.array([end_id], t.kind).tobytes()
+        for batch in batches:
+            done, out, size = 0, [], 0
+            for k, text in enumerate(batch.column(3), 1):
+                out.append(t.encode(text.as_py()).tobytes() + end)
+                size += len(out[-1])
+                if size > HELD or k == len(batch):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(done, len(out)) for c in range(3)), pa.array(out, pa.binary())], ["doc_id", "h", "nth", "ids"])
+                    done, out, size = k, [], 0
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("nth"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, nth long, ids binary")
+
+
+def train_dictionary(tokens: DataFrame, sample_docs: int = 1000, sample_bytes: int = 16_384, size: int = 65_536) -> bytes:
+    """A dictionary of ``size`` bytes from at most ``sample_docs`` documents of at most ``sample_bytes`` bytes of ids.
 
     They are those of least hash, found by a threshold on the hash first, so that a task hands on few rows.
     """
-    n = docs.count()
-    rank = F.xxhash64(F.col(id_col).cast("string"), F.lit("dictionary"))
-    some = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= sample_chars))
+    n = tokens.count()
+    rank = F.xxhash64("doc_id", "h")
+    some = tokens.where(F.octet_length("ids") <= sample_bytes)
     if n > 4 * sample_docs:
         some = some.where(F.pmod(rank, F.lit(1 << 40)) < F.lit((4 * sample_docs << 40) // n))
-    some = some.select(rank.alias("rank"), F.col(text_col).alias("text")).orderBy("rank", "text").limit(sample_docs).coalesce(1)
+    some = some.select(rank.alias("rank"), "nth", "ids").orderBy("rank", "nth").limit(sample_docs).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import chunk_tokenizer
-
-        t, samples = chunk_tokenizer(tokenizer_path), []
-        for batch in batches:
-            samples += [np.append(t.encode(x.as_py()), end_id).astype(t.kind).tobytes() for x in batch.column(1)]
+        samples = [x for batch in batches for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([trained(samples, size)], pa.binary())], ["dictionary"])
 
     found = some.mapInArrow(run, "dictionary binary").collect()  # one row, or none of an empty table
@@ -107,34 +124,36 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id
     Documents are in ascending order of their ids, null ids first; equal ids in order of their texts' hashes, then as
     read; an id that many rows share is spread over several files. A null text is an empty one and has the end id
     alone. Repeated rows are written each for itself; an empty table gives no files; other columns are not read.
-    A file's name is that of its task's attempt and only files of attempts that ended are in the manifest, so lost
-    executors leave no half-written file in it. The folder has to be one that all executors reach.
+    Texts are tokenised where they are read; their ids alone are shuffled. A file's name is that of its task's attempt
+    and only files of attempts that ended are in the manifest, so lost executors leave no half-written file in it. The
+    folder has to be one that all executors reach.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
+    tokens = scratch(tokenised(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+    kind = np.dtype("<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4")
     if dictionary is None:
-        dictionary = train_dictionary(docs, tokenizer_path, end_id, id_col, text_col)
+        dictionary = train_dictionary(tokens)
     fs, path = _place(folder)
     fs.create_dir(path, recursive=True)
     _put(f"{folder}/dictionary", dictionary)
     shared = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import chunk_tokenizer
-
-        t, coder, part = chunk_tokenizer(tokenizer_path), Coder(shared.value, level), TaskContext.get().partitionId()
-        end = np.array([end_id], t.kind)
+        coder, part = Coder(shared.value, level), TaskContext.get().partitionId()
         name, out, at, index = f"part-{part:08d}-{uuid.uuid4().hex}", None, 0, []
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            for i, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if out is None:
                     to, where = _place(f"{folder}/{name}")
                     out = to.open_output_stream(where, buffer_size=1 << 20)
-                    head = json.dumps({"ids": t.kind.str, "end_id": end_id, "dictionary_sha256": coder.sha256}).encode()
+                    head = json.dumps({"ids": kind.str, "end_id": end_id, "dictionary_sha256": coder.sha256}).encode()
                     out.write(head := MAGIC + struct.pack("<I", len(head)) + head)
                     at = len(head)
-                i, ids = i.as_py(), np.concatenate([t.encode(text.as_py()), end])
-                out.write(frame := coder.compress(ids.tobytes()))
-                index.append((i is not None, i or 0, at, len(ids)))
+                ids = ids.as_buffer()
+                out.write(frame := coder.compress(ids))
+                index.append((i is not None, i or 0, at, len(ids) // kind.itemsize))
                 at += len(frame)
         if out is None:
             return
@@ -145,9 +164,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id
         ids = [int(r["doc_id"]) if r["known"] else None for r in rows[[0, -1]]]
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "documents": len(rows), "tokens": int(rows["tokens"].sum()), "first": ids[0], "last": ids[1], "bytes": at}], schema=pa.schema([("part", pa.int32()), ("name", pa.string()), *((c, pa.int64()) for c in ("documents", "tokens", "first", "last", "bytes"))]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("nth"))
     order = [F.asc_nulls_first("doc_id"), "h", "nth"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     files = sorted(ordered.mapInArrow(run, "part int, name string, documents long, tokens long, first long, last long, bytes long").collect(), key=lambda r: r["part"])  # a row for each task
     start, listed = 0, []
     for r in files:
@@ -159,6 +177,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id
     for f in fs.get_file_info(pyarrow.fs.FileSelector(path)):  # what attempts left that did not end
         if f.base_name.startswith("part-") and f.base_name not in known:
             fs.delete_file(f.path)
+    forget(tokens)
     return manifest
 
 

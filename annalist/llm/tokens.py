@@ -18,6 +18,9 @@ import numpy as np
 
 #: Fixed: the word pattern of the tokenizer's file.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same of lower-case ASCII without white space and controls, and what tells that a chunk is none such or may hold a special token.
+ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+ODD_BYTES = re.compile(rb"[^\x21-\x7e]|<\|")
 
 
 def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -45,7 +48,11 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 
 class ChunkTokenizer:
-    """Encodes texts to arrays of ids; a cache of over ``most`` entries starts anew with the next block."""
+    """Encodes texts to arrays of ids through caches of chunks and words.
+
+    A cache has two generations of at most half of ``most`` entries: what is found in the elder one moves to the
+    younger; when that is full it becomes the elder one, so what a text needs often stays.
+    """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,12 +62,14 @@ class ChunkTokenizer:
         self.tokenizer, self.words, self.odd = Tokenizer.from_file(path), regex.compile(WORDS), re.compile(r"[\x00-\x20\x7f-\xa0ɐ-\U0010ffff]|<\|")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.of_chunk: dict[bytes, bytes] = {}
-        self.of_word: dict[str, bytes] = {}
+        self.elder: dict[bytes, bytes] = {}
+        self.of_word: dict[bytes, bytes] = {}
         self.most, self.model, self.letters = most, self.tokenizer.model, byte_letters()
 
-    def _word(self, word: str) -> bytes:
-        visible = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return array(self.kind.char, [t.id for t in self.model.tokenize(visible)]).tobytes()
+    def _word(self, word: bytes) -> bytes:
+        visible = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+        ids = self.of_word[word] = array(self.kind.char, [t.id for t in self.model.tokenize(visible)]).tobytes()
+        return ids
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,32 +77,33 @@ class ChunkTokenizer:
     def _learn(self, chunks: Iterable[bytes]) -> None:
         if len(self.of_word) > self.most:
             self.of_word.clear()
-        whole, ids, word = [], self.of_word, self._word
+        whole, ids, word, known, odd, words = [], self.of_word, self._word, self.of_chunk, ODD_BYTES.search, ASCII_WORDS.findall
         for c in chunks:
-            text = c.decode()
-            if text.isascii():
-                low, plain = text.lower(), text.isprintable() and "<|" not in text
+            low = c.lower()
+            if low.isalpha():  # of letters a to z alone
+                known[c] = ids.get(low) or word(low)
+            elif not odd(low):
+                known[c] = b"".join([ids.get(w) or word(w) for w in words(low)])
             else:
+                text = c.decode()
                 low = unicodedata.normalize("NFC", text).lower()
-                plain = not self.odd.search(low) and not self.odd.search(text)
-            if not plain:
-                whole.append((c, text))
-                continue
-            ws = (low,) if low.isalpha() else (low[:-1], low[-1]) if low[:-1].isalpha() else self.words.findall(low)
-            for w in ws:
-                if w not in ids:
-                    ids[w] = word(w)
-            self.of_chunk[c] = b"".join([ids[w] for w in ws])
-        self.of_chunk.update(zip([c for c, _ in whole], self._ids([t for _, t in whole]), strict=True))
+                if text.isascii() or self.odd.search(low) or self.odd.search(text):
+                    whole.append((c, text))
+                else:
+                    known[c] = b"".join([ids.get(w) or word(w) for w in map(str.encode, self.words.findall(low))])
+        known.update(zip([c for c, _ in whole], self._ids([t for _, t in whole]), strict=True))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null is empty."""
-        out, known = [], self.of_chunk
+        out = []
         for block in blocks((text or "").encode()):
             chunks = block.split()
-            if len(known) > self.most:
-                known.clear()
-            if new := {c for c in set(chunks) if c not in known}:
-                self._learn(new)
-            out.append(b"".join([known[c] for c in chunks]))
+            if len(self.of_chunk) > self.most // 2:
+                self.of_chunk, self.elder = {}, self.of_chunk
+            known, elder = self.of_chunk, self.elder
+            if new := set(chunks).difference(known):
+                known.update([(c, elder[c]) for c in new if c in elder])
+                if new := new.difference(known):
+                    self._learn(new)
+            out.append(b"".join(map(known.__getitem__, chunks)))
         return np.frombuffer(b"".join(out), self.kind)
