@@ -22,7 +22,7 @@ KEPT = frozenset(["worldmarket", "active_war", "previous_war", "great_nations",
 
 DATED = r"^\d{1,4}\.\d{1,2}\.\d{1,2}$"
 
-LEAVES = "save_id string, ord int, top string, top_ord int, path array<string>, block int, parent int, key string, value string"
+LEAVES = "save_id string, ord long, top string, top_ord long, path array<string>, block long, parent long, key string, value string"
 
 
 def leaves(text: str, every: bool = False) -> Iterator[tuple]:
@@ -129,17 +129,10 @@ def _last(key: str, inside: Column | None = None) -> Column:
     return F.max_by("value", F.when(here if inside is None else here & inside, F.col("ord")))
 
 
-def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
-    """A campaign's tables by name: saves, province, pop, country, country_list, country_field, state, unit, market, war, great_nation.
-
-    files: as one_per_date(); rows: their leaves, which should be persisted.
-    """
+def _land(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Provinces and population groups from leaves."""
     at_top = F.size("path") == 0
     number = lambda c: F.col(c).try_cast("double")
-    saves = rows.where("top is null").groupBy("save_id").agg(_last("date").alias("date"), _last("player").alias("player"), _last("start_date").alias("start_date"))
-    y, m, d = date_parts(F.col("date"))
-    saves = saves.join(files.select(F.col("path").alias("save_id"), "campaign"), "save_id").withColumns({"y": y, "m": m, "d": d, "year_frac": year_fraction(F.col("date"))})
-
     p = rows.where(r"top rlike '^\\d+$'").withColumn("pid", F.col("top").cast("long"))
     level = F.max(F.when(_inside(1) == F.lit("naval_base"), number("value")))
     first = lambda name: F.coalesce(F.max_by(number("value"), F.when((_inside(1) == name), -F.col("ord"))), F.lit(0.0))
@@ -152,6 +145,41 @@ def tables(files: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     pop = f.groupBy("save_id", F.col("top_ord").alias("prov_ord"), "pid", F.col("block").alias("pop_ord"), _inside(1).alias("pop_type")).agg(
         F.max_by("key", F.when(culture, -F.col("ord"))).alias("culture"), _last("size").alias("size"), _last("id").alias("id"), *(_last(k).try_cast("double").alias(k) for k in ("literacy", "con", "mil", "life_needs")),
     )
+    return province, pop
+
+
+def _typed_land(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Provinces and population groups from rows of sources.blocks."""
+    number = lambda x: x.try_cast("double")
+    p, g = F.col("province"), F.col("pop")
+    levels = lambda c: F.filter(F.transform(p[c], number), lambda x: x.isNotNull())
+    first = lambda c: F.coalesce(F.get(levels(c), F.lit(0)), F.lit(0.0))
+    province = typed.where("kind = 'province'").select(
+        "save_id", F.col("top_ord").alias("prov_ord"), p["pid"].alias("pid"), p["owner"].alias("owner"), p["controller"].alias("controller"), F.array_distinct(p["cores"]).alias("cores"),
+        F.coalesce(p["colonial"].try_cast("int"), F.lit(0)).alias("colonial"), F.coalesce(F.array_max(levels("naval_base")), F.lit(0.0)).alias("naval_base"), first("fort").alias("fort"), first("railroad").alias("railroad"),
+    )
+    key = lambda x: F.substring_index(x, "=", 1)
+    culture = key(F.get(F.filter(F.split(g["others"], "\n"), lambda x: number(F.substring(x, F.length(key(x)) + 2, F.length(x))).isNull()), F.lit(0)))
+    pop = typed.where("kind = 'pop'").select(
+        "save_id", F.col("top_ord").alias("prov_ord"), g["pid"].alias("pid"), g["pop_ord"].alias("pop_ord"), g["pop_type"].alias("pop_type"), culture.alias("culture"), g["size"].alias("size"), g["id"].alias("id"),
+        *(number(g[k]).alias(k) for k in ("literacy", "con", "mil", "life_needs")),
+    )
+    return province, pop
+
+
+def tables(files: DataFrame, rows: DataFrame, typed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A campaign's tables by name: saves, province, pop, country, country_list, country_field, state, unit, market, war, great_nation.
+
+    files: as one_per_date(); rows: their leaves, which should be persisted; typed: rows of provinces and population
+    groups that have been read as such (see sources.blocks), whose leaves are not among the others then.
+    """
+    at_top = F.size("path") == 0
+    number = lambda c: F.col(c).try_cast("double")
+    saves = rows.where("top is null").groupBy("save_id").agg(_last("date").alias("date"), _last("player").alias("player"), _last("start_date").alias("start_date"))
+    y, m, d = date_parts(F.col("date"))
+    saves = saves.join(files.select(F.col("path").alias("save_id"), "campaign"), "save_id").withColumns({"y": y, "m": m, "d": d, "year_frac": year_fraction(F.col("date"))})
+
+    province, pop = _typed_land(typed) if typed is not None else _land(rows)
     pop = pop.where("culture is not null and size is not null").withColumn("size", whole_number(F.col("size"))).withColumn("id", F.col("id").try_cast("long")).where("size > 0")
 
     c = rows.where(F.col("top").rlike("^[A-Z][A-Z0-9]{2}$"))

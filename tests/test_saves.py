@@ -2,13 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.plans import campaign as C
+from annalist.sources import blocks as B
 from annalist.sources import saves as S
 
 from .savebuilder import islands
 
 
 @pytest.fixture(scope="module")
-def files(spark, tmp_path_factory):
+def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("campaigns") / "north"
     d.mkdir()
     (d / "a.v2").write_bytes(islands())
@@ -17,11 +18,18 @@ def files(spark, tmp_path_factory):
     (d / "zip.v2").write_bytes(b"PK\x03\x04 date=")
     (d / "cut.v2").write_bytes(islands()[:900])
     (d / "headless.v2").write_bytes(b"1=\n{\n}\n")
-    return S.read_files(spark, str(d))
+    return str(d)
 
 
 @pytest.fixture(scope="module")
-def t(files):
+def files(spark, folder):
+    return S.read_files(spark, folder)
+
+
+@pytest.fixture(scope="module", params=["tokens", "blocks"])
+def t(spark, files, folder, request):
+    if request.param == "blocks":
+        return B.campaigns(spark, folder)
     kept = S.one_per_date(files).persist()
     return S.tables(kept, S.read_leaves(kept).persist())
 
