@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import clamped
-from .saves import LEAVES, leaves
+from .saves import LEAVES, TOKEN, leaves
 
 #: Fixed: the keys of a culture group that are no cultures.
 NOT_CULTURES = ["color", "unit", "union", "leader", "is_overseas"]
@@ -91,6 +91,52 @@ def rule_leaves(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, LEAVES).join(of, "save_id")
 
 
+TREE = "save_id string, top string, node long, parent long, depth int, path array<string>, key string, value string, is_block boolean"
+
+
+def tree(text: str) -> Iterator[tuple]:
+    """(top, node, parent, depth, path, key, value, is_block) of every block and leaf of a file, in order.
+
+    node: numbers from 1; parent: the block around it, 0 at the top; depth: how many blocks there are around it; path:
+    the keys of those inside the one at the top.
+    """
+    tokens = [(m[3], 0) if m[3] is not None else (m[1], 0) if m[1] is not None else (m[2], 1) for m in TOKEN.finditer(text) if m[0][0] != "#"]
+    stack: list[tuple[int, str | None]] = []
+    n = i = 0
+    while i < len(tokens):
+        (t, mark), key = tokens[i], None
+        if not mark and tokens[i + 1 : i + 2] == [("=", 1)]:
+            key, i = t, i + 2
+            if i >= len(tokens):
+                break
+            t, mark = tokens[i]
+        i += 1
+        if mark and t == "}":
+            if stack:
+                stack.pop()
+        elif not mark or t == "{":
+            n += 1
+            around = [k or "" for _, k in stack]
+            yield around[0] if stack else key, n, stack[-1][0] if stack else 0, len(stack), around[1:], key, None if mark else t, bool(mark)
+            if mark:
+                stack.append((n, key))
+
+
+def rule_tree(files: DataFrame) -> DataFrame:
+    """The blocks and leaves of resolved files, as TREE with the file's layer, folder and name; save_id is its path."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        names = [c.split()[0] for c in TREE.split(", ")]
+        for b in batches:
+            for path, text in zip(b["path"], b["text"], strict=True):
+                yield pd.DataFrame([(path, *r) for r in tree(text)], columns=names)
+
+    of = files.select(F.col("path").alias("save_id"), "layer", folder_key(F.col("folder")).alias("folder"), F.lower("name").alias("name"))
+    return files.select("path", "text").mapInPandas(run, TREE).join(of, "save_id")
+
+
 def _in(rows: DataFrame, folder: str, *names: str) -> DataFrame:
     return rows.where((F.col("folder") == folder) & F.col("name").isin(*names))
 

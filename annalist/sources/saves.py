@@ -209,7 +209,7 @@ def tables(files: DataFrame, rows: DataFrame, typed: DataFrame | None = None) ->
     war = w.groupBy("save_id", F.col("top_ord").alias("war_ord"), (F.col("top") == "active_war").alias("active")).agg(
         _last("name", at_top).alias("name"), _last("original_attacker", at_top).alias("attacker"), _last("original_defender", at_top).alias("defender"),
         F.min(F.when(_inside(2).rlike(DATED), year_fraction(_inside(2)))).alias("start"), F.max(F.when(_inside(2).rlike(DATED), year_fraction(_inside(2)))).alias("until"),
-        F.collect_set(F.when(F.col("key").isin("add_attacker", "add_defender"), F.col("value"))).alias("parties"),
+        F.collect_set(F.when(F.col("key").isin("add_attacker", "add_defender"), F.col("value"))).alias("parties"), F.collect_set(F.when(F.col("key").isin("attacker", "defender") & at_top, F.col("value"))).alias("fighting"),
     )
     great = rows.where((F.col("top") == "great_nations") & F.col("key").isNull() & F.col("value").isNotNull())
     great = great.select("save_id", F.row_number().over(W.partitionBy("save_id").orderBy("ord")).alias("rank"), F.col("value").try_cast("int").alias("country_index"))
