@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import clamped
+from ..operators.lineage import cut
 from .saves import LEAVES, TOKEN, leaves
 
 #: Fixed: the keys of a culture group that are no cultures.
@@ -205,33 +206,44 @@ def ruling_impact(countries: DataFrame, rules: dict[str, DataFrame]) -> DataFram
 
 
 def attainable(rules: dict[str, DataFrame], holdings: DataFrame) -> DataFrame:
-    """invention: what anybody in a campaign can come to have.
+    """campaign, invention: what anybody in a campaign can come to have.
 
     rules: inventions (invention, base: its chance, null if none), techs (invention, tech), tags (invention, tag; none:
-    anyone), requires (invention, other), blockers (invention, other, factor). holdings: tag, tech. At first those count
-    for which some nation has all technologies; then those go that require one that is gone or unknown, and those whose
-    chance the factors of blockers that are gone bring to zero or less, until none goes. The names of inventions, some
-    hundreds, are on the driver; holdings are not.
+    anyone), requires (invention, other), blockers (invention, other, factor). holdings: campaign, tag, tech. At first
+    those count for which some nation has all technologies; then those go that require one that is gone or unknown, and
+    those whose chance the factors of blockers that are gone bring to zero or less, until none goes. Each round follows
+    only what went in the one before; tables stay on the cluster, and a round ends in a checkpoint.
     """
-    n = rules["techs"].distinct().groupBy("invention").agg(F.count("*").alias("n"))
-    have = rules["techs"].distinct().join(holdings.distinct(), "tech").groupBy("invention", "tag").agg(F.count("*").alias("has"))
-    told = rules["tags"].select("invention").distinct().withColumn("told", F.lit(True))
-    full = have.join(n, "invention").where("has = n").join(told, "invention", "left").join(rules["tags"].withColumn("may", F.lit(True)), ["invention", "tag"], "left").where("told is null or may").select("invention")
-    free = rules["inventions"].join(n, "invention", "left_anti")  # no technology needed
-    named = rules["tags"].join(holdings.select("tag").distinct(), "tag", "left_semi").select("invention")
-    free = free.join(told, "invention", "left_anti").select("invention").union(free.join(named, "invention", "left_semi").select("invention"))
-    live = {r.invention for r in full.union(free).distinct().join(rules["inventions"], "invention", "left_semi").collect()}
-    known = {r.invention for r in rules["inventions"].select("invention").collect()}
-    while live:
-        left = F.col("other").isin(sorted(live))
-        unmet = rules["requires"].where(~left).select("invention")
-        gone = rules["blockers"].where(F.col("other").isin(sorted(known - live))).groupBy("invention").agg(F.sum("factor").alias("more"))
-        hopeless = gone.join(rules["inventions"], "invention").where("base + more <= 0").select("invention")
-        dead = {r.invention for r in unmet.union(hopeless).distinct().where(F.col("invention").isin(sorted(live))).collect()}
-        if not dead:
-            break
-        live -= dead
-    return holdings.sparkSession.createDataFrame([(x,) for x in sorted(live)], "invention string")
+    held = holdings.select("campaign", "tag", "tech").distinct()
+    known = rules["inventions"].select("invention", "base").distinct()
+    needs = rules["techs"].select("invention", "tech").distinct()
+    n = needs.groupBy("invention").agg(F.count("*").alias("n"))
+    told = rules["tags"].select("invention", "tag").distinct()
+    anyone = known.select("invention").join(told, "invention", "left_anti").withColumn("anyone", F.lit(True))
+    nations = held.select("campaign", "tag").distinct()
+    full = needs.join(held, "tech").groupBy("campaign", "invention", "tag").agg(F.count("*").alias("has")).join(n, "invention").where("has = n")
+    full = full.join(anyone, "invention", "left").join(told.withColumn("may", F.lit(True)), ["invention", "tag"], "left").where("anyone or may").select("campaign", "invention")
+    free = known.select("invention").join(n, "invention", "left_anti")  # no technology needed
+    free_to_all = free.join(anyone, "invention").select("invention").crossJoin(F.broadcast(nations.select("campaign").distinct())).select("campaign", "invention")
+    free_to_some = free.join(told, "invention").join(nations, "tag").select("campaign", "invention")
+    able = full.unionByName(free_to_all).unionByName(free_to_some).distinct()
+    every = cut(nations.select("campaign").distinct().crossJoin(known.select("invention").distinct()))
+    able = cut(every.join(able, ["campaign", "invention"], "left_semi"))
+
+    requires = rules["requires"].select(F.col("invention").alias("of"), F.col("other").alias("invention")).distinct()
+    lost = requires.join(known, "invention", "left_anti").select(F.col("of").alias("invention")).distinct()  # what they require is unknown
+    blockers = rules["blockers"].select(F.col("invention").alias("of"), F.col("other").alias("invention"), "factor")
+    chances = known.where("base is not null").select(F.col("invention").alias("of"), "base")
+    gone = cut(every.join(able, ["campaign", "invention"], "left_anti").unionByName(every.join(lost, "invention", "left_semi").select("campaign", "invention")).distinct())
+    new, weighed = gone, None
+    while not new.isEmpty():
+        unmet = new.join(requires, "invention").select("campaign", F.col("of").alias("invention"))
+        more = new.join(blockers, "invention").join(chances, "of").groupBy("campaign", "of", "base").agg(F.sum("factor").alias("more"))
+        weighed = cut(more if weighed is None else weighed.unionByName(more).groupBy("campaign", "of", "base").agg(F.sum("more").alias("more")))
+        hopeless = weighed.where("base + more <= 0").select("campaign", F.col("of").alias("invention"))
+        new = cut(unmet.unionByName(hopeless).distinct().join(gone, ["campaign", "invention"], "left_anti"))
+        gone = cut(gone.unionByName(new))
+    return able.join(gone, ["campaign", "invention"], "left_anti")
 
 
 def named_inventions(held: DataFrame, sequence: DataFrame, base: int) -> DataFrame:

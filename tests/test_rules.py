@@ -1,5 +1,7 @@
 """Rule files of a game and a mod over it: which file counts, what is read from it, and what follows for nations."""
 
+import random
+
 import pytest
 
 from annalist.sources import rules as R
@@ -87,8 +89,9 @@ def test_what_can_be_invented(spark):
         "blockers": d([("d", "c", -1.0), ("e", "b", -1.0), ("e", "unknown", -1.0)], "invention string, other string, factor double"),
     }
     # nobody has both t1 and t2, so a goes; c needs a; what c's absence adds brings d to nothing
-    holdings = d([("XXY", "t1"), ("YYZ", "t2")], "tag string, tech string")
-    assert [r[0] for r in R.attainable(rules, holdings).collect()] == ["b", "e", "f"]
+    holdings = d([("w", "XXY", "t1"), ("w", "YYZ", "t2"), ("v", "XXY", "t1"), ("v", "XXY", "t2")], "campaign string, tag string, tech string")
+    assert rows(R.attainable(rules, holdings), "campaign", "invention") == [("v", "a"), ("v", "b"), ("v", "c"), ("v", "d"), ("v", "e"), ("w", "b"), ("w", "e"), ("w", "f")]
+    assert R.attainable(rules, holdings.limit(0)).collect() == []
     held = R.named_inventions(d([("XXY", [5, 6, 99])], "tag string, ids array<int>"), d([(0, "p"), (1, "q")], "seq int, invention string"), 5)
     assert rows(held, "tag", "invention") == [("XXY", "p"), ("XXY", "q")]
 
@@ -102,3 +105,31 @@ def test_naval_profiles(spark):
         ("XXY", "barge", "gun"): 7.0, ("XXY", "barge", "evasion"): 0.95, ("XXY", "skiff", "gun"): 0.0, ("XXY", "skiff", "score"): -3.0,
         ("YYZ", "barge", "gun"): 5.0, ("YYZ", "barge", "evasion"): 0.5, ("YYZ", "skiff", "gun"): 1.0, ("YYZ", "skiff", "score"): 1.0,
     }
+
+
+def test_long_chains_and_sums_of_blockers(spark):
+    r = random.Random(6)
+    names = [f"i{k:02d}" for k in range(90)]
+    base = {x: r.choice([None, 1.0, 2.0]) for x in names}
+    requires = {(names[k], names[k - 1]) for k in range(1, 30)} | {(r.choice(names), r.choice(names)) for _ in range(10)}
+    blockers = [(r.choice(names), r.choice([*names, "other"]), r.choice([-1.0, -0.5, -2.0])) for _ in range(120)]
+    needs = {(x, f"t{r.randint(0, 6)}") for x in names for _ in range(r.randint(0, 2))} | {("i00", "never")}
+    tags = {(x, r.choice("PQ")) for x in r.sample(names, 12)}
+    held = {(c, r.choice("PQR"), f"t{r.randint(0, 6)}") for c in "uv" for _ in range(14)}
+    want = set()
+    for c in "uv":
+        techs = {t: {k for cc, tt, k in held if cc == c and tt == t} for cc, t, _ in held if cc == c}
+        live = {x for x in names if any({k for y, k in needs if y == x} <= have and (not any(y == x for y, _ in tags) or (x, t) in tags) for t, have in techs.items())}
+        while True:
+            dead = {x for x in live if any(y == x and o not in live for y, o in requires) or (base[x] is not None and (gone := [f for y, o, f in blockers if y == x and o in names and o not in live]) and base[x] + sum(gone) <= 0)}
+            if not dead:
+                break
+            live -= dead
+        want |= {(c, x) for x in live}
+    d = spark.createDataFrame
+    rules = {
+        "inventions": d(list(base.items()), "invention string, base double"), "techs": d(list(needs), "invention string, tech string"), "tags": d(list(tags), "invention string, tag string"),
+        "requires": d(list(requires), "invention string, other string"), "blockers": d(blockers, "invention string, other string, factor double"),
+    }
+    got = set(rows(R.attainable(rules, d(list(held), "campaign string, tag string, tech string")), "campaign", "invention"))
+    assert got == want and not any(("u", x) in got for x in names[:30])  # a chain of thirty goes link by link
