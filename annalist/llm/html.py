@@ -27,27 +27,31 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Fixed: an element that one of these opens closes an open one of the others.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<>]*+"|'[^'<>]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*>|([^<]+|<)""", re.S)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<>]*+"|'[^'<>]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*>|([^<]+|<)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 @dataclass
 class Block:
-    """The decoded text of a leaf block, what stands above it from the outside in, and its share of linked characters."""
+    """The decoded text of a leaf block, what stands above it from the outside in, its share of linked characters, its parent's number."""
 
     text: str
     path: tuple[tuple[str, str], ...]
     linked: float
+    parent: int = 0
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a whole page that have text, in page order; markup may be broken and nested to any depth.
 
     Of a block more than 200 elements deep, the outer 100 and the inner 100 are its path. An element of RAW that is
-    never closed holds the rest of the page; one of UNSEEN ends with the element around it.
+    never closed holds the rest of the page; one of UNSEEN ends with the element around it. As in browsers a ``/`` before
+    ``>`` ends an element in a drawing and a drawing, and nothing else.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    numbers = [0]  # of the page and of each open element
+    serial = 0
     opened: Counter[str] = Counter()
     parts: list[str] = []
     links = in_link = unseen = 0
@@ -58,7 +62,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text and not unseen:
                 path = stack if len(stack) <= 200 else stack[:100] + stack[-100:]
-                out.append(Block(text, tuple(path), min(1.0, links / len(text))))
+                out.append(Block(text, tuple(path), min(1.0, links / len(text)), numbers[max(0, len(stack) - 1)]))
             parts.clear()
         links = 0
 
@@ -67,7 +71,7 @@ def leaf_blocks(page: str) -> list[Block]:
         for tag, _ in stack[depth:]:
             opened[tag] -= 1
             unseen -= tag in UNSEEN
-        del stack[depth:]
+        del stack[depth:], numbers[depth + 1 :]
 
     at, end = 0, len(page)
     while at < end:
@@ -95,10 +99,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 in_link = 0
         elif tag in RAW:
-            if not attributes.endswith("/"):
+            if not (opened["svg"] and attributes.endswith("/")):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = over.end() if over else end
-        elif tag not in VOID and not (tag in UNSEEN and attributes.endswith("/")):
+        elif tag not in VOID and not (attributes.endswith("/") and (tag == "svg" or opened["svg"])):
             if stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
@@ -109,6 +113,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
             names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower() if "=" in attributes else ""
             stack.append((tag, names))
+            serial += 1
+            numbers.append(serial)
             opened[tag] += 1
             unseen += tag in UNSEEN
     flush()
@@ -148,6 +154,21 @@ def text_features(b: Block) -> list[str]:
     return [f"chars:{min(9, n.bit_length())}", f"linked:{int(b.linked * 3.99)}", "ends:" + ("stop" if b.text[-1] in ".!?…。" else "bare")]
 
 
+def kin_features(blocks: list[Block]) -> list[list[str]]:
+    """Of each block, how much text, links and paragraphs its parent holds, and whether a heading of the page."""
+    held: dict[int, list] = {}
+    for b in blocks:
+        k = held.setdefault(b.parent, [0, 0.0, 0, False])
+        own = b.path[-1][0] if b.path else ""
+        k[0] += len(b.text)
+        k[1] += b.linked * len(b.text)
+        k[2] += own == "p"
+        k[3] = k[3] or own == "h1"
+    most = max((k[0] for k in held.values()), default=0)
+    told = {i: [f"kin:{min(12, n.bit_length())}", f"kin_linked:{int(linked / n * 3.99)}", f"kin_p:{min(4, p)}", f"kin_h1:{h1}", f"kin_most:{n == most}", f"kin_h1:{h1} kin_p:{min(4, p)}"] for i, (n, linked, p, h1) in held.items()}
+    return [told[b.parent] for b in blocks]
+
+
 @dataclass
 class Field:
     """Weights for main against other: of features, of both labels' transitions, and of the first block."""
@@ -158,13 +179,13 @@ class Field:
 
     def scores(self, blocks: list[Block]) -> list[float]:
         w, out = self.weights, []
-        for b in blocks:
+        for b, kin in zip(blocks, kin_features(blocks), strict=True):
             s = self.paths.get(b.path)
             if s is None:
                 if len(self.paths) > 20_000:
                     self.paths.clear()
                 s = self.paths[b.path] = sum(w.get(f, 0.0) for f in path_features(b.path))
-            out.append(s + sum(w.get(f, 0.0) for f in text_features(b)))
+            out.append(s + sum(w.get(f, 0.0) for f in text_features(b)) + sum(w.get(f, 0.0) for f in kin))
         return out
 
     def decode(self, scores: list[float]) -> list[bool]:
@@ -189,7 +210,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], epochs: int = 25, rate: f
     """Conditional log likelihood by stochastic gradient ascent, with forward and backward sums."""
     f, chance = Field(), random.Random(1)
     soft = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
-    data = [([path_features(b.path) + text_features(b) for b in blocks], labels) for blocks, labels in pages if blocks]
+    data = [([path_features(b.path) + text_features(b) + kin for b, kin in zip(blocks, kin_features(blocks), strict=True)], labels) for blocks, labels in pages if blocks]
     for epoch in range(epochs):
         lr = rate / (1 + epoch)
         for k in chance.sample(range(len(data)), len(data)):
@@ -235,7 +256,10 @@ MAIN = [("article", "|post|article|entry"), ("main", "|main|content"), ("div", "
 
 
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
-    """Pages with the texts of their main blocks, which are all distinct from the other blocks' texts."""
+    """Pages with the texts of their main blocks, which are all distinct from the other blocks' texts.
+
+    Half of the elements have names that tell, the others invented ones or none; some articles stand in the page itself.
+    """
     r, serial = random.Random(seed), iter(range(10**9))
 
     def words(low: int, high: int) -> str:
@@ -243,7 +267,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         return f"{text} {next(serial)}{r.choice(['.', '.', '.', '!', '?', ''])}".capitalize()
 
     def named(names: str) -> str:
-        name = r.choice(names.split("|"))
+        x = r.random()
+        name = r.choice(names.split("|")) if x < 0.5 else "".join(r.choice("abcdefgmnoprstuvwxyz0123456789-_") for _ in range(r.randint(2, 12))) if x < 0.75 else ""
         return f' {r.choice(["class", "class", "id"])}="{name}"' if name else ""
 
     def aside() -> str:
@@ -283,7 +308,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         if r.random() < 0.3:
             main += [aside(), r.choice(["<p>{}</p>", "<p>{}"]).format(own(1, r.choice([2, 8, 40])))]
         tag, names = r.choice(MAIN)
-        body = [aside() for _ in range(r.randint(0, 4))] + [f"<{tag}{named(names)}>{''.join(main)}</{tag}>"] + [aside() for _ in range(r.randint(0, 4))]
+        article = "".join(main) if r.random() < 0.1 else f"<{tag}{named(names)}>{''.join(main)}</{tag}>"
+        body = [aside() for _ in range(r.randint(0, 4))] + [article] + [aside() for _ in range(r.randint(0, 4))]
         if r.random() < 0.4:
             body = [f"<div{named('wrapper|container|page|site|row|')}>{''.join(body)}</div>"]
         pages.append((f"<html><head><title>{words(2, 5)}</title></head><body>{''.join(body)}</body></html>", kept))
