@@ -2,8 +2,9 @@
 
 N-grams of one to three characters are hashed to a fixed number of features. Document frequencies are counted over
 every training document; the regression itself is fitted on a bounded sample (``per_lang`` documents of each language,
-fewer where languages are so many that they would exceed ``most_rows``, chosen by a hash of the id) by follow-the-regularised-leader with elastic-net penalties,
-and its temperature on a part of the sample that the fit has not seen. Predictions read whole texts.
+fewer where languages are so many that they would exceed ``most_rows``, chosen by a hash of the id, one at least) by
+follow-the-regularised-leader with elastic-net penalties, and its temperature on a part of the sample that the fit has
+not seen. Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -106,21 +107,25 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most_rows: int = 50_000, most_grams: int = 2048, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-3) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1000, most_rows: int = 4000, updates: int = 20_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-3) -> Model:
     """Learns from the rows of labelled with a language and a text.
 
-    Every language is learned. The driver gets the count of each language, a document frequency for each of 16,384
-    features, and of about ``most_rows`` sampled documents at most (one at least for each language) the ``most_grams``
-    most frequent features, 12 KB each. An empty table gives a model that predicts ``und``.
+    Every language that has a text with a letter is learned, from one document at least: what the fit is not to see is
+    left out of it only where the language has others. The driver gets the count of each language, a document frequency
+    for each of 16,384 features, and all features of about ``most_rows`` sampled documents (one at least for each
+    language), 98 KB each at most whatever the length of their texts. The sample is gone through four times, a small one
+    more often, for about ``updates`` steps in all. An empty table gives a model that predicts ``und``.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    letters = F.col("text").rlike(r"\p{L}")
+    told = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.when(letters, chance)).alias("first")).collect()
+    langs, first = {r["lang"]: r["n"] for r in told}, {r["lang"]: -1.0 if r["first"] is None else r["first"] for r in told}
     if not langs:
         return Model([], np.ones(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     names, per_lang = sorted(langs), max(1, min(per_lang, most_rows // len(langs)))
-    share = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(1.0, per_lang / langs[k])))), F.col("lang"))
-    chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = F.coalesce(chance < share, F.lit(False))
+    of = lambda values: F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, values[k]))), F.col("lang"))
+    picked = F.coalesce((chance < of({k: min(1.0, per_lang / n) for k, n in langs.items()})) | (chance == of(first)), F.lit(False))
     unseen = F.pmod(F.xxhash64("id", F.lit("unseen")), F.lit(5)) == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +140,6 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 df[at] += 1
                 n += 1
                 if pick.as_py():
-                    if len(at) > most_grams:
-                        at = np.sort(at[np.argsort(-c[at], kind="stable")[:most_grams]])
                     got.append((lang.as_py(), un.as_py(), at.astype("<u2").tobytes(), c[at].astype("<f4").tobytes(), -1, 0))
             if got:
                 yield _batch(got)
@@ -163,6 +166,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             x = np.frombuffer(r["count"], "<f4") * idf[at]
             row = (np.append(at, FEATURES), np.append(x / max(np.sqrt(x @ x), 1e-12), 1.0), names.index(r["lang"]))
             (check if r["unseen"] else fit).append(row)
+    taught = {y for *_, y in fit}
+    fit += [r for r in check if r[2] not in taught]  # a language's only documents
+    check = [r for r in check if r[2] in taught]
+    epochs = max(4, min(100, updates // max(1, len(fit))))
     w, bias = ftrl(fit, len(names), epochs, alpha, beta, l1, l2)
     t = _temperature(np.array([x[:-1] @ w[at[:-1]] + bias for at, x, _ in check]), np.array([y for *_, y in check])) if check else 1.0
     return Model(names, idf, w, bias, t)
@@ -184,16 +191,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return out.select("*", "_judged_.lang_pred", "_judged_.score").drop("_judged_")
 
 
-def in_a_language(docs: DataFrame, least: float = 1.2, id_col: str = "doc_id", **how) -> DataFrame:
+def in_a_language(docs: DataFrame, least: float = 1.2, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without those whose language is ``und`` or has a probability below ``least`` times that of a mere guess.
 
     Learns from all documents of docs but held-out ones. If no document has a language, none is rejected. Null, empty
     and letterless texts are ``und``; repeated rows are judged alike; an empty table stays empty; other columns pass.
     """
-    model = train(docs.where(~held_out(F.col(id_col))), id_col=id_col, **how)
+    model = train(docs.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, **how)
     if not model.langs:
         return docs
-    judged = predict(docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), F.col("text").alias("text")), model)
+    judged = predict(docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), F.col(text_col).alias("text")), model)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(0.9, least / len(model.langs)))).select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
 
 

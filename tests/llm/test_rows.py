@@ -40,6 +40,26 @@ def test_language_id_of_odd_documents(spark):
     assert {x.lang_pred for x in L.predict(odd_docs(spark), none).collect()} == {"und"} and L.predict(no_docs(spark), model).count() == 0
 
 
+def tongue(language, seed, words=40):
+    """A text of nine letters of a language's own."""
+    own, r = random.Random(language).sample([*"abcdefghijklmnopqrstuvwxyz", *"äöüßéèñçøåþð"], 9), random.Random(seed)
+    return " ".join("".join(r.choice(own) for _ in range(r.randint(2, 7))) for _ in range(words))
+
+
+def test_every_language_is_predicted_on_its_own_text(spark):
+    rows = [(k, tongue(k, k), f"l{k:03d}") for k in range(260)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [model.predict(t)[0] for _, t, _ in rows] == [x for *_, x in rows]
+    assert sum(model.predict(tongue(k, 1000 + k))[0] == x for k, _, x in rows) > 250
+    few = L.train(spark.createDataFrame([(k % 13 + 100 * k, tongue(k % 13, k), f"l{k % 13:03d}") for k in range(390)], "doc_id long, text string, lang string"), most_rows=20)  # one of each, whatever the ids' hashes
+    assert sum(few.predict(tongue(k, 5000 + k))[0] == f"l{k:03d}" for k in range(13)) >= 12
+
+
+def test_language_of_another_column(spark):
+    df = spark.createDataFrame([(k, tongue(k % 2, k), f"l{k % 2}", None) for k in range(60)], "doc_id long, own string, lang string, text string")
+    assert L.in_a_language(df, text_col="own").count() == 60
+
+
 def test_grams_of_long_texts_are_those_of_the_whole():
     text = prose(3, 300_000)
     assert L.grams(text).sum() > len(text) * 2.9 and L.grams("12 3") is None and L.grams(None) is None
@@ -311,6 +331,31 @@ def test_html_of_layouts_that_training_does_not_have():
     assert right / kept >= 0.9 and right / wanted >= 0.9, (right, kept, wanted)
 
 
+@pytest.mark.parametrize("name", ["q7", "mw-parser-output", "css-1x2y3z", "blogtext", "col-md-8", "node__wrap", "", None])
+def test_html_of_articles_whose_names_tell_nothing(name):
+    """name: the class of the article's element; empty: it has none; None: there is no such element."""
+    f, r, found, own_blocks, right = X.trained_field(), random.Random(5), 0, 0, 0
+    link = lambda: f"<li><a href='/'>{prose(r.randint(0, 10**9), r.randint(1, 3))}</a></li>"
+    for k in range(60):
+        own = [prose(r.randint(0, 10**9), r.randint(3, 9)), *(prose(r.randint(0, 10**9), r.randint(1, 60)) + r.choice([".", ""]) for _ in range(r.randint(3, 9)))]
+        article = f"<h1>{own[0]}</h1>" + "".join(f"<p>{x}</p>" for x in own[1:])
+        article = article if name is None else f"<div{name and f' class={name}'}>{article}</div>"
+        side = f"<div class=k9x><h3>{prose(k, 2)}</h3><ul>{''.join(link() for _ in range(5))}</ul></div>" if k % 2 else ""
+        comments = f"<section id=comments>{''.join(f'<div class=comment><p>{prose(k * 9 + i, 20)}</p></div>' for i in range(3))}</section>" if k % 3 == 0 else ""
+        page = f"<html><body><nav><ul>{''.join(link() for _ in range(5))}</ul></nav>{side}{article}{comments}<footer><p>{prose(k + 700, 8)}</p></footer></body></html>"
+        got = {x for x in X.main_text(page, f).split("\n\n") if x}
+        found, own_blocks, right = found + len(got), own_blocks + len(set(own)), right + len(got & set(own))
+    assert right / own_blocks >= 0.95 and right / found >= 0.95
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<p>a</p><script src=/a/b/>var x=1;</script><p>b</p>", ["a", "b"]), ('<p>a</p><script src="x"/>var x=1;</script><p>b</p>', ["a", "b"]), ("<style/>p{}</style><p>b</p>", ["b"]), ("<!--><p>b</p>", ["b"]), ("<!---><p>b</p>", ["b"]),
+    ("<!-- <p>a</p> --!><p>b</p>", ["b"]), ("<svg><style/><path/></svg><p>b</p>", ["b"]), ("<svg/><p>b</p>", ["b"]), ("<select/><option>x</option></select><p>b</p>", ["b"]), ("<div/><p>b</p>", ["b"]), ("a<!-- open", ["a"]),
+])
+def test_html_ends_of_elements_and_comments(page, texts):
+    assert [b.text for b in X.leaf_blocks(page)] == texts
+
+
 def test_html_keeps_ancestors_beyond_any_depth_and_text_after_what_is_left_open():
     page = "<body><article>" + "<div>" * 500 + "<p>Deep one stands here.</p>" + "</div>" * 500 + "<p>After it comes more.</p></article><footer>Foot</footer>"
     assert [len(b.path) for b in X.leaf_blocks(page)] == [200, 3, 2]
