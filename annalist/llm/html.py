@@ -24,6 +24,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 UNSEEN = frozenset("template svg select datalist canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msup msub".split())
+#: Fixed: elements that hold a line or paragraph of the element around them.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 #: Fixed: an element that one of these opens closes an open one of the others.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 
@@ -33,7 +35,7 @@ NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 
 @dataclass
 class Block:
-    """The decoded text of a leaf block, what stands above it from the outside in, its share of linked characters, its parent's number."""
+    """The decoded text of a leaf block, what stands above it from the outside in, its share of linked characters, and the number of the element that holds it and its like."""
 
     text: str
     path: tuple[tuple[str, str], ...]
@@ -62,7 +64,7 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text and not unseen:
                 path = stack if len(stack) <= 200 else stack[:100] + stack[-100:]
-                out.append(Block(text, tuple(path), min(1.0, links / len(text)), numbers[max(0, len(stack) - 1)]))
+                out.append(Block(text, tuple(path), min(1.0, links / len(text)), numbers[max(0, len(stack) - (bool(stack) and stack[-1][0] in LINES))]))
             parts.clear()
         links = 0
 
@@ -155,7 +157,7 @@ def text_features(b: Block) -> list[str]:
 
 
 def kin_features(blocks: list[Block]) -> list[list[str]]:
-    """Of each block, how much text, links and paragraphs its parent holds, and whether a heading of the page."""
+    """Of each block, how much text, links and paragraphs the element that holds it has, and whether the page's heading."""
     held: dict[int, list] = {}
     for b in blocks:
         k = held.setdefault(b.parent, [0, 0.0, 0, False])
@@ -258,7 +260,7 @@ MAIN = [("article", "|post|article|entry"), ("main", "|main|content"), ("div", "
 def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Pages with the texts of their main blocks, which are all distinct from the other blocks' texts.
 
-    Half of the elements have names that tell, the others invented ones or none; some articles stand in the page itself.
+    Most other things have names that tell, articles less than half; the rest have invented ones or none; some articles stand in the page itself.
     """
     r, serial = random.Random(seed), iter(range(10**9))
 
@@ -266,9 +268,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
         text = " ".join("".join(r.choice("abdegiklmnoprstuvz") for _ in range(r.randint(2, 9))) for _ in range(r.randint(low, high)))
         return f"{text} {next(serial)}{r.choice(['.', '.', '.', '!', '?', ''])}".capitalize()
 
-    def named(names: str) -> str:
+    def named(names: str, telling: float = 0.45) -> str:
         x = r.random()
-        name = r.choice(names.split("|")) if x < 0.5 else "".join(r.choice("abcdefgmnoprstuvwxyz0123456789-_") for _ in range(r.randint(2, 12))) if x < 0.75 else ""
+        name = r.choice(names.split("|")) if x < telling else "".join(r.choice("abcdefgmnoprstuvwxyz0123456789-_") for _ in range(r.randint(2, 12))) if x < (1 + telling) / 2 else ""
         return f' {r.choice(["class", "class", "id"])}="{name}"' if name else ""
 
     def aside() -> str:
@@ -279,7 +281,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
             body = "".join(f'<{t}><p>{words(3, 60)}</p></{t}>' for t in [r.choice(["div", "li", "article"])] for _ in range(r.randint(1, 5)))
         else:
             body = "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "{}<br>", "<h3>{}</h3>", "<a href='/y'>{}</a>", "<ul><li>{}</li></ul>"]).format(words(1, r.choice([4, 15, 60]))) for _ in range(r.randint(1, 4)))
-        return f"<{tag}{named(names)}>{body}</{tag}>"
+        return f"<{tag}{named(names, 0.8)}>{body}</{tag}>"
 
     pages = []
     for _ in range(n):
@@ -317,7 +319,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[str]]]:
 
 
 @lru_cache(maxsize=1)
-def trained_field(n: int = 400, seed: int = 7) -> Field:
+def trained_field(n: int = 1000, seed: int = 7) -> Field:
     """The field that labelled_pages(n, seed) teach."""
     data = []
     for page, kept in labelled_pages(n, seed):
