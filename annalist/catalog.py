@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import fleets, judging, matching, rollups, space, texts, timelines
+from .plans import fleets, judging, lands, matching, rollups, space, texts, timelines
 from .plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "fleets", "judging", "matching", "rollups", "space", "texts", "timelines"]
+__all__ = ["ORACLE", "QUERIES", "fleets", "judging", "lands", "matching", "rollups", "space", "texts", "timelines"]

@@ -33,7 +33,7 @@ BLOCKS = f"kind string, {LEAVES}, province {PROVINCE}, pop {POP}, part {PART}"
 END = b"\n}"
 TAG = re.compile(rb"[A-Z][A-Z0-9]{2}")
 #: The sub-blocks of a country that tables are made from.
-OF_COUNTRY = frozenset([b"culture", b"technology", b"active_inventions", b"flags", b"saved_country_supply", b"modifier", b"state", b"army", b"navy"])
+OF_COUNTRY = frozenset([b"culture", b"technology", b"active_inventions", b"flags", b"saved_country_supply", b"modifier", b"state", b"army", b"navy", b"scheduled_mobilization"])
 OF_PROVINCE = frozenset([b"naval_base", b"fort", b"railroad"])
 NUMBERS = ("size", "id", "literacy", "con", "mil", "life_needs")
 KEY = re.compile(rb'[^\s={}"#\x1c-\x1f\x85\xa0]+=')

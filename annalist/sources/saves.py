@@ -168,7 +168,7 @@ def _typed_land(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tables(files: DataFrame, rows: DataFrame, typed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """A campaign's tables by name: saves, province, pop, country, country_list, country_field, state, unit, market, war, great_nation.
+    """A campaign's tables by name: saves, province, pop, country, country_list, country_field, state, unit, formation, market, war, great_nation.
 
     files: as one_per_date(); rows: their leaves, which should be persisted; typed: rows of provinces and population
     groups that have been read as such (see sources.blocks), whose leaves are not among the others then.
@@ -204,6 +204,11 @@ def tables(files: DataFrame, rows: DataFrame, typed: DataFrame | None = None) ->
         F.min("ord").alias("ord"), _last("type", ~F.col("of_pop")).alias("kind"), _last("strength").try_cast("double").alias("strength"), F.coalesce(_last("experience").try_cast("double"), F.lit(0.0)).alias("experience"),
         _last("id", F.col("of_pop")).try_cast("long").alias("pop_id"),
     )
+    holds = lambda kind: F.count_distinct(F.when(_inside(-1) == kind, F.col("block")).when(_inside(-2) == kind, F.col("parent")))
+    called = c.where((entry == "scheduled_mobilization") & (F.size("path") == 1)).groupBy("save_id", F.col("top").alias("tag"), "block").agg(F.lower(_last("spawned")).alias("spawned"))
+    called = called.where("spawned is null or spawned <> 'yes'").groupBy("save_id", "tag").agg(F.count("*").alias("mobilizing"))
+    formation = c.where(_inside(1).isin("army", "navy")).groupBy("save_id", F.col("top").alias("tag")).agg(holds("army").alias("armies"), holds("navy").alias("navies")).join(called, ["save_id", "tag"], "full")
+    formation = formation.na.fill(0, ["armies", "navies", "mobilizing"])
     market = rows.where(F.col("top") == "worldmarket").where(F.size("path") >= 1).select("save_id", "ord", entry.alias("pool"), "block", F.col("key").alias("good"), number("value").alias("value"))
     w = rows.where(F.col("top").isin("active_war", "previous_war"))
     war = w.groupBy("save_id", F.col("top_ord").alias("war_ord"), (F.col("top") == "active_war").alias("active")).agg(
@@ -213,7 +218,7 @@ def tables(files: DataFrame, rows: DataFrame, typed: DataFrame | None = None) ->
     )
     great = rows.where((F.col("top") == "great_nations") & F.col("key").isNull() & F.col("value").isNotNull())
     great = great.select("save_id", F.row_number().over(W.partitionBy("save_id").orderBy("ord")).alias("rank"), F.col("value").try_cast("int").alias("country_index"))
-    return {"saves": saves, "province": province, "pop": pop, "country": country, "country_list": country_list, "country_field": country_field, "state": state, "unit": unit, "market": market, "war": war, "great_nation": great}
+    return {"saves": saves, "province": province, "pop": pop, "country": country, "country_list": country_list, "country_field": country_field, "state": state, "unit": unit, "formation": formation, "market": market, "war": war, "great_nation": great}
 
 
 def war_parts(rows: DataFrame) -> dict[str, DataFrame]:
