@@ -68,3 +68,14 @@ def forget(*dfs: DataFrame) -> None:
     gc.collect()  # what Python holds of finished queries
     for df in dfs[:1]:
         df.sparkSession._jvm.System.gc()
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under column names that nothing else has, and the new name of each old one; see put_back()."""
+    names = {c: f"own {i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def put_back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of set_aside() under their old names."""
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))

@@ -18,6 +18,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 #: Fixed: elements without content, elements whose content holds no markup and is no text of the page, other elements
 #: whose content is no text of the page (form fields, drawings, what is not shown), and elements that don't break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -346,9 +348,10 @@ def extract(pages: DataFrame, html_col: str = "html", model: Field | None = None
     def text_of(html):
         return html.map(lambda page: main_text(page, f), na_action=None)
 
-    source = pages.withColumn("_html_", F.coalesce(F.col(html_col), F.lit(""))).drop("text", "n_chars", html_col)
-    out = source.withColumn("text", text_of("_html_")).drop("_html_")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    own, names = set_aside(pages)
+    out = own.withColumn("text", text_of(F.coalesce(F.col(names[html_col]), F.lit("")))).withColumn("n_chars", F.length("text").cast("long"))
+    kept = [F.col(new).alias(old) for old, new in names.items() if old not in ("text", "n_chars", html_col)]
+    return out.select(*kept, "text", "n_chars")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

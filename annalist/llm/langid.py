@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import put_back, set_aside
+
 FEATURES = 1 << 14
 
 
@@ -200,8 +202,9 @@ def in_a_language(docs: DataFrame, least: float = 1.2, id_col: str = "doc_id", t
     model = train(docs.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, **how)
     if not model.langs:
         return docs
-    judged = predict(docs.select(*(F.col(c).alias(f"_own_{c}") for c in docs.columns), F.col(text_col).alias("text")), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(0.9, least / len(model.langs)))).select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
+    own, names = set_aside(docs)
+    judged = predict(own, model, names[text_col])
+    return put_back(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= min(0.9, least / len(model.langs)))), names)
 
 
 def held_out(doc_id: Column) -> Column:

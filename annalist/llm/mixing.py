@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, clamp, cut
+from .common import WORD, clamp, cut, put_back, set_aside
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -152,19 +152,22 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     A document comes out once for each epoch that takes any of it: whole where all of its blocks are taken, else as
     the words of those that are, with the white space between them. Documents without a word are not part of a mix.
-    Texts are shuffled once, by a key of the row; equal rows are taken as often as all of them together.
+    Texts are shuffled once, by a key of the row; equal rows are taken as often as all of them together. Null sources are
+    one, the last; an empty table stays empty; columns may have any names.
     """
     m = mix(docs, id_col=id_col, source_col=source_col, text_col=text_col, **how)
     of = F.struct("piece_from", "piece_len")
     took = pieces(m).join(m.slots.select("ordinal", "index", "epoch").hint("merge"), ["ordinal", "index"]).groupBy("key", "ordinal", "start", "size", "epoch").agg(F.sort_array(F.collect_list(of)).alias("_runs_"), F.sum("piece_len").alias("words"))
     took = took.select(F.col("key").alias("_took_"), F.when(F.col("words") < F.col("size"), F.col("_runs_")).alias("_runs_"))
-    one = docs.withColumn("_key_", row_key(id_col, source_col, text_col)).dropDuplicates(["_key_"])
-    words = F.regexp_extract_all(text_col, F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), 0)
+    own, names = set_aside(docs)
+    text = F.col(names[text_col])
+    one = own.withColumn("_key_", row_key(names[id_col], names[source_col], names[text_col])).dropDuplicates(["_key_"])
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})[\\x20\\x09-\\x0D]*"), 0)
     some = F.rtrim(F.array_join(F.flatten(F.transform("_runs_", lambda r: F.slice(words, (r["piece_from"] + 1).cast("int"), r["piece_len"].cast("int")))), ""))
-    out = one.join(took.hint("merge"), F.col("_key_") == F.col("_took_")).withColumn(text_col, F.when(F.col("_runs_").isNull(), F.col(text_col)).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    out = one.join(took.hint("merge"), F.col("_key_") == F.col("_took_")).withColumn(names[text_col], F.when(F.col("_runs_").isNull(), text).otherwise(some))
+    if n_chars := names.get("n_chars"):
+        out = out.withColumn(n_chars, F.length(text).cast("long"))
+    return put_back(out, names)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, put_back, set_aside
 from .components import components
 from .tokens import blocks
 
@@ -150,13 +150,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
 def without_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each group that links join; a repeated row stays once.
 
-    Documents with null ids stay only where no other of their group has an id; then those of one text are one.
+    Documents with null ids stay only where no other of their group has an id; then those of one text are one. Null,
+    empty and wordless texts are one group; an empty table stays empty; columns may have any names.
     """
+    own, names = set_aside(docs)
     groups = near_duplicates(docs, words, radius, id_col, text_col)
-    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_"), "text_key").distinct())
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_stay_")) & (F.col("_text_") == F.col("text_key"))
-    d = docs.withColumn("_text_", F.xxhash64(text_col)).join(stay, same, "left_semi")
-    return d.dropDuplicates([id_col, "_text_"]).select(*docs.columns)
+    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_"), F.col("text_key").alias("_stay_text_")).distinct())
+    d = own.withColumn("_id_", F.col(names[id_col])).withColumn("_text_", F.xxhash64(F.col(names[text_col])))
+    same = F.col("_id_").cast("long").eqNullSafe(F.col("_stay_")) & (F.col("_text_") == F.col("_stay_text_"))
+    return put_back(d.join(stay, same, "left_semi").dropDuplicates(["_id_", "_text_"]), names)
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline's stages in turn, and run() against them."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from annalist.llm import langid as L
 
@@ -23,6 +26,21 @@ def test_run_gives_what_its_stages_give_in_turn(spark, tmp_path):
     assert sorted(map(tuple, got.select("length", "sequence_id").collect())) == sorted(map(tuple, now.select("length", "sequence_id").collect()))
 
 
+CLASHES = ["fp", "key", "text_key", "doc_id_", "_id_", "_key_", "_cuts_", "_stay_", "_stay_text_", "_text_", "_took_", "_runs_", "_judged_", "_html_", "lang_pred", "score", "component_id", "start", "size", "index", "own 0", "a.b", "source_size"]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_bear_columns_of_any_name_and_empty_tables(spark, tmp_path, stage):
+    name, f = stage
+    d = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is null or doc_id < 9 or doc_id > 9")
+    d = d.select("*", *(F.lit(i).alias(c) for i, c in enumerate(CLASHES)))
+    out = f(spark, d, str(tmp_path))
+    rows = out.collect()
+    assert rows and f(spark, d.limit(0), str(tmp_path)).count() == 0
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == d.columns and all(r[c] == i for r in rows for i, c in enumerate(CLASHES))
+
+
 def test_language_stage_bears_odd_documents(spark):
     d = odd_docs(spark)
     kept = L.in_a_language(d)
