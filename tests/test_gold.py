@@ -6,7 +6,6 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.plans import campaign as C
 from annalist.plans import gold as G
 from annalist.plans import invariants as I
 from annalist.sources import blocks as B
