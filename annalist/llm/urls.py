@@ -56,11 +56,12 @@ def bloom(entries: DataFrame, n_blocks: int) -> DataFrame:
     return m.groupBy("block").agg(F.array(*(F.bit_or(F.col("m")[i]) for i in range(4))).alias("words"))
 
 
-def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", n_blocks: int = 1 << 14, small_list: int = 10_000, salts: int = 32) -> DataFrame:
+def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", n_blocks: int | None = None, most_blocks: int = 1 << 18, small_list: int = 10_000, salts: int = 32) -> DataFrame:
     """id_col, host, path, rule, verdict for each row of pages.
 
-    entries: as of url_list(). The filter of at most ``n_blocks`` rows (40 bytes each) is broadcast. A list of up to
-    ``small_list`` rows is broadcast to the exact join too; a longer one is hash-joined with each key under ``salts``
+    entries: as of url_list(). The filter has a block of 256 bits for each 16 entries, unless ``n_blocks`` are asked for, so
+    that it passes few URLs that are not listed, however long the list. It is broadcast up to ``most_blocks`` rows of 40
+    bytes; beyond that it is joined by block. A list of up to ``small_list`` rows is broadcast to the exact join too; a longer one is hash-joined with each key under ``salts``
     salts, so that a key that many URLs share is spread over as many tasks.
 
     Null URLs and URLs without ``://`` have an empty host and path, no rule, and the verdict allow. Repeated rows stay
@@ -70,6 +71,7 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     e = entries.select("key", "verdict", "policy")
     shape = e.agg(F.count("*").alias("n"), F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("labels"), F.max(F.length("key") - F.length(F.replace(F.col("key"), F.lit("/"), F.lit("")))).alias("slashes")).first()
     labels, slashes = shape["labels"] or 0, shape["slashes"] or 0
+    n_blocks = n_blocks or 1 << max(10, (shape["n"] // 16).bit_length())
 
     u = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     u = u.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -82,7 +84,8 @@ def filter_urls(pages: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     tried = tried.withColumns({"block": _block(F.col("key"), n_blocks), "m": _masks(F.col("key")), "first": F.coalesce(F.col("pos") == 0, F.lit(True))})
 
     hit = F.coalesce(F.expr("words is not null and forall(sequence(0, 3), i -> words[i] & m[i] = m[i])"), F.lit(False))
-    passed = tried.join(F.broadcast(bloom(e, n_blocks)), "block", "left").withColumn("key", F.when(hit, F.col("key"))).where(F.col("key").isNotNull() | F.col("first")).select("id", "host", "path", "key", "first")
+    words = bloom(e, n_blocks)
+    passed = tried.join(F.broadcast(words) if n_blocks <= most_blocks else words.hint("merge"), "block", "left").withColumn("key", F.when(hit, F.col("key"))).where(F.col("key").isNotNull() | F.col("first")).select("id", "host", "path", "key", "first")
 
     if shape["n"] <= small_list:
         found = passed.join(F.broadcast(e), "key", "left")

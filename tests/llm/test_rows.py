@@ -331,6 +331,19 @@ def test_html_of_layouts_that_training_does_not_have():
     assert right / kept >= 0.9 and right / wanted >= 0.9, (right, kept, wanted)
 
 
+def test_urls_of_a_long_list(spark):
+    """Of 10^5 entries the filter passes few that are not listed, broadcast or joined by block."""
+    keys = spark.range(100_000).selectExpr("concat('site', id, '.example.org/') as key", "'block' as verdict", "false as policy")
+    pages = spark.range(20_000).selectExpr("id as page_id", "concat('http://site', id * 7, '.example.org/x') as url")
+    want = {i: "block" if 7 * i < 100_000 else "allow" for i in range(20_000)}
+    for most in (1 << 18, 16):
+        assert {r.page_id: r.verdict for r in U.filter_urls(pages, keys, most_blocks=most).collect()} == want
+    n_blocks = 1 << (100_000 // 16).bit_length()
+    words, masks = U.bloom(keys, n_blocks), U._masks(F.col("key"))
+    other = spark.range(100_000, 200_000).selectExpr("concat('site', id, '.example.org/') as key").withColumns({"block": U._block(F.col("key"), n_blocks), "m": masks})
+    assert other.join(words, "block").where("forall(sequence(0, 3), i -> words[i] & m[i] = m[i])").count() < 2000
+
+
 @pytest.mark.parametrize("name", ["q7", "mw-parser-output", "css-1x2y3z", "blogtext", "col-md-8", "node__wrap", "", None])
 def test_html_of_articles_whose_names_tell_nothing(name):
     """name: the class of the article's element; empty: it has none; None: there is no such element."""
