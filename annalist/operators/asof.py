@@ -50,3 +50,22 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     p = points.withColumn("_bucket_", bucket(at))
     s = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket_", F.explode(F.sequence(bucket(start), bucket(end))))
     return p.join(s, [*keys, "_bucket_"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bucket_")
+
+
+def running(spans: DataFrame, start: str, end: str, last: DataFrame, step: int, block: int = 4096) -> DataFrame:
+    """at, running: how many spans, start <= at <= end, hold each of the dates 0, step, 2 * step and so on, where any does.
+
+    start, end: whole numbers; a span without one of them, or that ends before it starts, holds no date. last: one row
+    and column, which no date is beyond. A span is two rows, one where it begins to count and one where it no longer
+    does; the rows of a date are summed, then dates within blocks of ``block``, then what comes before each block.
+    """
+    size = step * block
+    nth = lambda c: F.greatest(F.ceil(c / step), F.lit(0)).cast("long") * step
+    s = spans.where(F.col(start) <= F.col(end)).select(F.explode(F.array(F.struct(nth(F.col(start)).alias("at"), F.lit(1).alias("n")), F.struct(nth(F.col(end) + 1).alias("at"), F.lit(-1).alias("n")))).alias("x")).select("x.*")
+    t = F.col(last.columns[0]).cast("long")
+    blocks = last.where(t >= 0).select(t.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), t, F.lit(size).cast("long"))).alias("b"))
+    dates = blocks.repartition("b").select(F.explode(F.sequence("b", F.least("t", F.col("b") + size - step), F.lit(step).cast("long"))).alias("at"), F.lit(0).alias("n"))
+    turns = s.join(F.broadcast(last.select(t.alias("t"))), F.col("at") <= F.col("t")).select("at", "n").union(dates).groupBy("at").agg(F.sum("n").alias("n")).withColumn("b", F.floor(F.col("at") / size))
+    before = turns.groupBy("b").agg(F.sum("n").alias("n")).select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("n").over(W.partitionBy("b").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    return turns.withColumn("within", within).join(F.broadcast(before), "b").select("at", (F.col("within") + F.col("before")).alias("running")).where("running > 0")
