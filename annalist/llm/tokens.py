@@ -11,7 +11,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +21,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same of lower-case ASCII without white space and controls, and what tells that a chunk is none such or may hold a special token.
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 ODD_BYTES = re.compile(rb"[^\x21-\x7e]|<\|")
+#: Bytes that are a word of their own after letters, at a chunk's end.
+MARKS = frozenset(b".,;:!?)")
 
 
 def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -47,63 +49,68 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+class Chunks(dict):
+    """Ids of chunks; one that is not there is looked for, or made, where it is asked for."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self[chunk] = self.find(chunk)
+        return ids
+
+
 class ChunkTokenizer:
     """Encodes texts to arrays of ids through caches of chunks and words.
 
-    A cache has two generations of at most half of ``most`` entries: what is found in the elder one moves to the
-    younger; when that is full it becomes the elder one, so what a text needs often stays.
+    The cache of chunks has two generations of about half of ``most`` entries: what is found in the elder one goes to
+    the younger too; when that is full it becomes the elder one, so what a text needs often stays.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_600_000, most_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.odd = Tokenizer.from_file(path), regex.compile(WORDS), re.compile(r"[\x00-\x20\x7f-\xa0ɐ-\U0010ffff]|<\|")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.of_chunk: dict[bytes, bytes] = {}
-        self.elder: dict[bytes, bytes] = {}
+        self.of_chunk, self.elder = Chunks(self._find), {}
         self.of_word: dict[bytes, bytes] = {}
-        self.most, self.model, self.letters = most, self.tokenizer.model, byte_letters()
+        self.most, self.most_words, self.model, self.letters = most, most_words, self.tokenizer.model, byte_letters()
 
     def _word(self, word: bytes) -> bytes:
         visible = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
         ids = self.of_word[word] = array(self.kind.char, [t.id for t in self.model.tokenize(visible)]).tobytes()
         return ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        if len(self.of_word) > self.most:
-            self.of_word.clear()
-        whole, ids, word, known, odd, words = [], self.of_word, self._word, self.of_chunk, ODD_BYTES.search, ASCII_WORDS.findall
-        for c in chunks:
-            low = c.lower()
-            if low.isalpha():  # of letters a to z alone
-                known[c] = ids.get(low) or word(low)
-            elif not odd(low):
-                known[c] = b"".join([ids.get(w) or word(w) for w in words(low)])
-            else:
-                text = c.decode()
-                low = unicodedata.normalize("NFC", text).lower()
-                if text.isascii() or self.odd.search(low) or self.odd.search(text):
-                    whole.append((c, text))
-                else:
-                    known[c] = b"".join([ids.get(w) or word(w) for w in map(str.encode, self.words.findall(low))])
-        known.update(zip([c for c, _ in whole], self._ids([t for _, t in whole]), strict=True))
+    def _find(self, chunk: bytes) -> bytes:
+        return self.elder.get(chunk) or self._learn(chunk)
+
+    def _learn(self, chunk: bytes) -> bytes:
+        ids, word, low = self.of_word, self._word, chunk.lower()
+        if low.isalpha():  # of letters a to z alone
+            return ids.get(low) or word(low)
+        if low[:-1].isalpha() and low[-1] in MARKS:
+            w, mark = low[:-1], low[-1:]
+            return (ids.get(w) or word(w)) + (ids.get(mark) or word(mark))
+        if not ODD_BYTES.search(low):
+            return b"".join([ids.get(w) or word(w) for w in ASCII_WORDS.findall(low)])
+        text = chunk.decode()
+        low = text.lower() if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text).lower()
+        if text.isascii() or self.odd.search(low) or self.odd.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if low.isalpha():
+            w = low.encode()
+            return ids.get(w) or word(w)
+        return b"".join([ids.get(w) or word(w) for w in map(str.encode, self.words.findall(low))])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null is empty."""
         out = []
         for block in blocks((text or "").encode()):
-            chunks = block.split()
             if len(self.of_chunk) > self.most // 2:
-                self.of_chunk, self.elder = {}, self.of_chunk
-            known, elder = self.of_chunk, self.elder
-            if new := set(chunks).difference(known):
-                known.update([(c, elder[c]) for c in new if c in elder])
-                if new := new.difference(known):
-                    self._learn(new)
-            out.append(b"".join(map(known.__getitem__, chunks)))
+                self.of_chunk, self.elder = Chunks(self._find), self.of_chunk
+            if len(self.of_word) > self.most_words:
+                self.of_word.clear()
+            out.append(b"".join(map(self.of_chunk.__getitem__, block.split())))
         return np.frombuffer(b"".join(out), self.kind)

@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from annalist.llm import token_files as T
+from annalist.llm.tokens import ChunkTokenizer
 
 from .helpers import no_docs, odd_docs, odd_rows, prose
 
@@ -88,3 +89,21 @@ def test_query_gives_the_ids_of_whole_documents(spark):
         want.append((r.doc_id, start, len(ids), crc(ids)))
         start += len(ids)
     assert sorted(map(tuple, T.op11_token_files(spark, d).collect())) == want
+
+
+def test_chunks_end_in_marks_and_hold_letters_beyond_ascii():
+    t = ChunkTokenizer(PATH)
+    for mark in ("", ",", "!", "?", ";", ":", ")", "'s", "...", "-", ".)"):
+        for x in (prose(60, 50).replace(" ", f"{mark} "), prose(61, 50).upper() + mark, f"Élan{mark} ĀB{mark} é{mark}ß{mark} e\u0301{mark} ª{mark}", mark):
+            assert t.encode(x).tolist() == ids_of(x)[:-1]
+
+
+def test_words_that_come_back_are_tokenised_once():
+    letters = "abcdefghilmnoprstuvz"
+    words, t, seen = ["".join((a, b, c, d, e)) for e in "xyw" for a in letters for b in letters for c in letters for d in letters], ChunkTokenizer(PATH), []
+    word = t._word
+    t._word = lambda w: seen.append(w) or word(w)
+    for mark in (",", ";"):
+        for i in range(0, len(words), 1000):
+            t.encode(f"{mark} ".join(words[i : i + 1000]))
+    assert len(words) == 480_000 and len(seen) == len(set(seen))
