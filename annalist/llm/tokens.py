@@ -67,7 +67,7 @@ class ChunkTokenizer:
     the younger too; when that is full it becomes the elder one, so what a text needs often stays.
     """
 
-    def __init__(self, path: str, most: int = 1_600_000, most_words: int = 800_000):
+    def __init__(self, path: str, most: int = 800_000, most_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
